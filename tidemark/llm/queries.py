@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_rules
+from tidemark.llm import bpe, exact_dedup, line_rules, packing
 from tidemark.llm.common import documents
 
 
@@ -18,7 +19,15 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules)}
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op5_bpe, op7_best_fit_packing)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
