@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_rules
+from tidemark.llm import exact_dedup, jaccard_join, line_rules, packing, pii
 from tidemark.llm.common import documents, staged
 
 
@@ -18,7 +19,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What remains is packed into sequences of 2048 tokens: one row per piece."""
+    return packing.packed(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", pack)]
+#: The field of the PII stage and the packing's tokens can't be said in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

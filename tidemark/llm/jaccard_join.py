@@ -234,3 +234,11 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named_rows = rows.where("n > 0").join(ends, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("class_id"), "n_verified")
     bare = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_verified"))
     return named_rows.unionByName(bare)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows of any document that links, directly or through others, to one of smaller doc_id; all columns stay. Rows with a null doc_id stay."""
+    gone = staged(similar_groups(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"))
+    return packed.join(side, packed.own_id == side.gone_id, "left_anti").select("row.*")
