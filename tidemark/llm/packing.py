@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,8 +28,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import WHITE, blocks
 from tidemark.llm.common import arrow_map, staged, texts
 
-CACHED, CACHED_CHARS = 300_000, 48
-_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+CACHED, CACHED_CHARS = 500_000, 48
+#: Latin letters. A run of them before white space or common punctuation is a piece; else what lies between white space is one.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECES = re.compile(f" ?[{_LATIN}]+(?=[.,!?;:{WHITE}]|$)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_PLAIN = re.compile(f" [{_LATIN}]+")
+#: Unseen words encoded as one text; each begins with a blank and so with a token of its own.
+TOGETHER = 1000
 
 
 @dataclass(frozen=True)
@@ -53,17 +59,34 @@ class ByteEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.specials = [x.content for x in self.lib.get_added_tokens_decoder().values()]
+        self.blank = np.array([(self.lib.id_to_token(i) or "").startswith("\u0120") for i in range(self.lib.get_vocab_size())])
         self.known: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of words of a blank and Latin letters, joined into longer texts and cut where a token begins with a blank."""
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for group, raw in zip(groups, self._raw(["".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.blank[np.frombuffer(raw, dtype="<u4")]) * 4
+            if len(cuts) != len(group):
+                out += self._raw(group)
+                continue
+            ends = [*cuts[1:].tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(cuts.tolist(), ends, strict=True)]
+        return out
 
     def encode(self, block: list[str]) -> list[bytes]:
         whole = {k for k, t in enumerate(block) if any(s in t for s in self.specials)}
         cut = [[] if k in whole else _PIECES.findall(t) for k, t in enumerate(block)]
         known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        known.update(zip(new, self._raw(new), strict=True))
+        new = {p for ps in cut for p in ps if p not in known}
+        words = [p for p in new if _PLAIN.fullmatch(p)]
+        other = list(new.difference(words))
+        known.update(zip(words, self._words(words), strict=True))
+        known.update(zip(other, self._raw(other), strict=True))
         out = [self._raw([block[k]])[0] if k in whole else b"".join([known[p] for p in ps]) for k, ps in enumerate(cut)]
         for p in new:
             if len(p) > CACHED_CHARS:
