@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,12 @@ def dropped(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shuffles_released(spark: SparkSession) -> None:
+    """Let go of shuffle files that no table needs any more: Spark deletes them when the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for an empty one."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
