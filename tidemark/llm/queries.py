@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, jaccard_join, line_rules, packing, pii, suffix_dedup
+from tidemark.llm import bpe, chaining, exact_dedup, jaccard_join, line_rules, packing, pii, suffix_dedup
 from tidemark.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(documents(spark, sf_dir))
 
 
+def op3_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -39,7 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op5_bpe, op6_jaccard_join, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op3_collinear_chaining, op5_bpe, op6_jaccard_join, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
