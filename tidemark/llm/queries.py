@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chaining, exact_dedup, jaccard_join, line_rules, packing, pii, suffix_dedup
+from tidemark.llm import bpe, chaining, exact_dedup, jaccard_join, licences, line_rules, packing, pii, suffix_dedup, warc
 from tidemark.llm.common import documents
 
 
@@ -23,6 +23,11 @@ def op3_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(documents(spark, sf_dir))
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.fixity(pages, warc.worn(pages))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -35,6 +40,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scans(documents(spark, sf_dir))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, sf_dir))
 
@@ -43,7 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op3_collinear_chaining, op5_bpe, op6_jaccard_join, op7_best_fit_packing, op9_suffix_dedup, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op3_collinear_chaining, op4_warc_fixity, op5_bpe, op6_jaccard_join, op7_best_fit_packing, op8_license_scan, op9_suffix_dedup, op10_pii)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
@@ -82,4 +91,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_line_rules": LINE_RULES_SQL.format(docs="documents"), "op6_jaccard_join": OP6_SQL}
+OP4_SQL = r"""
+WITH r AS (SELECT page_id, url, CAST(floor(page_id / 4096) AS BIGINT) AS file,
+                  encode(concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+                                'WARC-Date: 2024-01-01T00:00:00Z', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10))) AS b,
+                  NOT (('0x' || md5(coalesce(url, ''))[1:8])::BIGINT % 1009 = 0 AND length(html) > 0 AND html[1:1] <> '?') AS intact FROM pages)
+SELECT page_id, file, row_number() OVER f - 1 AS seq, CAST(coalesce(sum(octet_length(b)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       CAST(octet_length(b) AS BIGINT) AS length, sha256(b) AS sha256, intact
+FROM r WINDOW f AS (PARTITION BY file ORDER BY page_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_line_rules": LINE_RULES_SQL.format(docs="documents"), "op4_warc_fixity": OP4_SQL, "op6_jaccard_join": OP6_SQL}
