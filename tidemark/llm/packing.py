@@ -153,7 +153,8 @@ def plan(histogram: dict[int, int], capacity: Capacity, rule: str = "norm", weig
     held: list[tuple | None] = []  # what it holds, as a chain: (before, length, how often)
     shut: list[tuple[int, tuple | None]] = []
     todo = sorted(((n, c) for n, c in histogram.items() if c), reverse=True)
-    for k, (n, c) in enumerate(todo):
+    least = todo[-1][0] if todo else 0
+    for n, c in todo:
         need = np.array([n, 1, n * n], dtype=np.int64)
         if (need > cap).any():
             raise ValueError(f"a piece of {n} tokens fits no sequence")
@@ -177,7 +178,6 @@ def plan(histogram: dict[int, int], capacity: Capacity, rule: str = "norm", weig
             many = np.append(many, used)
             held.append((chain, n, each))
             c -= used * each
-        least = todo[k + 1][0] if k + 1 < len(todo) else cap[0] + 1
         over = (many == 0) | (room[:, 0] < least) | (room[:, 1] < 1)
         shut += [(int(many[i]), held[i]) for i in np.flatnonzero(over) if many[i]]
         room, many, held = room[~over], many[~over], [held[i] for i in np.flatnonzero(~over)]
