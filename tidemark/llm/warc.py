@@ -3,7 +3,7 @@
 A page is one response record. Records lie in files by ranges of page_id, in order of page_id, at offsets that follow from
 their lengths. A manifest has one row per record: file, seq, offset, length, SHA-256. Above it stands a tree: a node's hash
 covers the offset range and the hashes of up to FANOUT children, up to each file's root, then over files to one root.
-audit() compares the roots of two replicas and goes down only below nodes that differ, to the records that do.
+audit() compares the roots of two replicas and goes down only below nodes that differ, to the records that do: in their bytes, or in their place.
 
 Null html is an empty body, a null url an empty target. Rows that repeat a page_id are records of their own beside each other (in
 order of url, then body). Rows with a null page_id lie in file -1. Other columns are ignored. An empty table has no files and
