@@ -1,6 +1,7 @@
 import datetime
 import http.server
 import threading
+import time
 
 import pytest
 
@@ -90,3 +91,32 @@ def test_stream_equals_batch(spark, tmp_path):
     from tidemark.operators.metrics import bucketed
 
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, bucketed(store.read_metrics(spark, str(tmp_path / "m")), "7 minutes").collect()))
+
+
+def test_service(spark, tmp_path, exposed):
+    from tidemark.api import Service
+
+    s = Service(spark, str(tmp_path))
+    assert s.metrics().isEmpty() and s.scraper_status().first().active_workers == 0
+    s.create(Agent("ok", "127.0.0.1", exposed)), s.create(Agent("bad", "127.0.0.1", exposed, path="/x"))
+    s.scrape_due()
+    assert {(r.id, r.last_scrape_status[:6]) for r in s.agents().collect()} == {("ok", "succes"), ("bad", "failed")}
+    assert s.scraper_status().first().total_errors == 1 and [r.agent_id for r in s.scraper_errors().collect()] == ["bad"]
+    before = s.runs().count()
+    s.scrape_due()  # no interval has passed
+    assert s.runs().count() == before
+    s.scrape_now("ok")
+    assert s.runs().count() == before + 1
+    with pytest.raises(Missing):
+        s.scrape_now("none")
+    s.save_metric("own", 1, "ok", {"a": "b"}, datetime.datetime(2024, 1, 1))
+    (row,) = s.agent_metrics("ok", "2024-01-01", "2024-01-02").collect()
+    assert row["name"] == "own" and s.stats().first().total_agents == 2
+    s.delete("ok", hard=True)
+    assert not s.agent_metrics("ok", "2024-01-01", "2024-01-02").isEmpty()
+    query = s.start("1 second")
+    until = time.time() + 60
+    while time.time() < until and query.exception() is None and s.runs().where("agent_id = 'bad'").count() < 2:
+        time.sleep(1)
+    s.stop()
+    assert query.exception() is None and not query.isActive and s.runs().where("agent_id = 'bad'").count() > 1
