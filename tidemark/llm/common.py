@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only white space that separates words here.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows that go to a Python worker at once while a table is staged: whole texts are wide, and executors hold a batch on both sides.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -38,7 +40,12 @@ def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     """df written as a table in the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
