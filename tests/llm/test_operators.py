@@ -187,7 +187,8 @@ def test_jaccard(docs):
     assert {r.doc_id for r in jaccard_join.one_of_each(docs).collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
-def test_jaccard_of_a_chain_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("leaf,small", [(8, 3), (10**9, 3), (10**9, 10**9)])
+def test_jaccard_of_a_chain_of_near_copies(spark, monkeypatch, leaf, small):
     """Neighbours link, ends don't; regions recurse and meet at the last depth."""
     rng = random.Random(5)
     words, rows = prose(rng, 200).split(), []
@@ -195,8 +196,8 @@ def test_jaccard_of_a_chain_of_near_copies(spark, monkeypatch):
         rows.append((i * 3, " ".join(words)))
         for _ in range(2):
             words[rng.randrange(len(words))] = f"c{i}{rng.randrange(99)}"
-    monkeypatch.setattr(jaccard_join, "LEAF", 8)
-    monkeypatch.setattr(jaccard_join, "DEPTH", 2)
+    for name, value in (("LEAF", leaf), ("DEPTH", 2), ("SMALL", small), ("BLOCK", 7)):
+        monkeypatch.setattr(jaccard_join, name, value)
     want = linked(rows)
     assert 1 < len({c for _, c in want.values()}) + 1 and {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, rows)).collect()} == want
 
