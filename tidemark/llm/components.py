@@ -18,12 +18,12 @@ def components(links: DataFrame) -> DataFrame:
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         spread = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label").unionByName(labels.select("id", "label"))
-        least = staged(spread.groupBy("id").agg(F.min("label").alias("label")), "labels")
+        least = spread.groupBy("id").agg(F.min("label").alias("label"))
         far = least.select(F.col("id").alias("label"), F.col("label").alias("further"))
         jumped = staged(least.join(far, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         moved = jumped.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old")
         still = moved.isEmpty()
-        dropped(least), dropped(labels)
+        dropped(labels)
         labels = jumped
         if still:
             dropped(both)
