@@ -199,12 +199,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of outsiders and members of other components that no window rules out. rows: token, id, n, label, main, m.
-    A region of more than BLOCK members is dealt into blocks, and each two blocks meet in a task of their own, so no task holds more than 2 BLOCK members."""
+    """Pairs (a, b) of outsiders and members of other components that no window rules out. rows: id, n, label, main.
+    Regions of one main component are taken together, as they share most members: a pair is tried once, not once for each region. More than BLOCK
+    members are dealt into blocks, and each two blocks meet in a task of their own, so no task holds more than 2 BLOCK members."""
+    rows = staged(rows.select("main", "id", "n", "label").distinct(), "together")
+    rows = rows.join(rows.groupBy("main").agg(F.count("*").alias("m")), "main")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "label", "main").join(sets.select("id", "parts"), "id")
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "label", "main").join(sets.select("id", "parts"), "id")
 
     def pairs(table: pa.Table) -> pa.Table:
         ids, n, label, main = (table.column(c).to_numpy() for c in ("id", "n", "label", "main"))
@@ -229,7 +232,7 @@ def _met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("token", "i", "j").applyInArrow(pairs, "a long, b long")
+    return dealt.groupBy("main", "i", "j").applyInArrow(pairs, "a long, b long")
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -294,7 +297,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         x = staged(outside.join(small.select("token"), "token").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx")), "outside")
         y = staged(live.join(small.select("token"), "token").select("token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main"), "inside")
         near = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & alike("nx", "ny")
-        met = x.join(y, (x["token"] == y["token"]) & near).select(*_pair(F.col("x"), F.col("y"))).unionByName(_met(live.join(middle.select("token", "m"), "token"), sets, percent))
+        met = x.join(y, (x["token"] == y["token"]) & near).select(*_pair(F.col("x"), F.col("y"))).unionByName(_met(live.join(middle.select("token"), "token"), sets, percent))
         again = live.join(large.select("token", "pivot", "pivot_label"), "token").where("label <> pivot_label").select(*_pair(F.col("id"), F.col("pivot")))
         found = _verified(_within_window(met.unionByName(again).distinct(), sets, percent), docs, k, percent)
         stuck = found.isEmpty()
