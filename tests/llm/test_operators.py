@@ -326,6 +326,19 @@ def test_suffix(docs, monkeypatch, dealt):
     assert got == brute_suffix(corpus())
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_of_repeated_rows(spark, parts):
+    """A row that repeats a doc_id with the same text is the same place, in one task as in several."""
+    rows = corpus(n=12)
+    rows = [r for k, r in enumerate(rows) for _ in range(1 + k % 3)]
+    lone = " ".join(f"alone{k}" for k in range(80))
+    rows += [(1000, lone), (1000, lone)]
+    got = suffix_dedup.without_repeats(frame(spark, rows).repartition(parts)).collect()
+    want = brute_suffix(dict(rows).items())
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *x) for i, x in want.items()}
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(8)
     for _ in range(40):
