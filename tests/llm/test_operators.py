@@ -304,6 +304,34 @@ def test_field_carries_labels_to_repeats():
     assert pii.redacted_text(text, every).count("<PHONE>") == 2
 
 
+FILLER = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "paper", "green", "window"]
+
+
+@pytest.mark.parametrize("base,again", [("+12025550147", "12025550147"), ("+1 202 555 0147", "1 202 555 0147"), ("+1 202 555 0147", "202 555 0147"), ("+1 (202) 555-0147", "12025550147"), ("+12025550147", "1 202 5550147"), ("4111 1111 1111 1111", "41111111 11111111")])
+def test_field_carries_labels_over_plain_words(base, again):
+    """Words without a digit lie between, and every repeat is tied to the evidence, before it or after."""
+    rng = random.Random(2)
+    fill = lambda n: " ".join(rng.choice(FILLER) for _ in range(n))
+    plain = f"call {base} today. {fill(40)} the line {again} then. {fill(30)} or {again} so. {fill(20)} order 30419 here"
+    for text in (plain, f"first {again} here. {fill(30)} {plain}"):
+        graph = pii.Graph([text], [pii.base_spans(text)])
+        tied = {int(x) for a, b in graph.skip for x, y in ((a, b), (b, a)) if graph.label[y]}
+        assert tied | set(np.flatnonzero(graph.label)) >= {i for i in range(len(graph.doc)) if text[graph.start[i] : graph.end[i]] in again.split()}
+        train = [f"{fill(30)} call +1{rng.randrange(10**9, 10**10)} or {rng.randrange(10**6)} and {rng.randrange(10**3)} {fill(9)} dial +1 {rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)} {fill(9)} card 4111 1111 1111 1111 {fill(9)} 10.0.{rng.randrange(255)}.7" for _ in range(200)]
+        field = pii.Field.fitted(pii.Graph(train, [pii.base_spans(t) for t in train]))
+        ((found, every),) = pii.all_spans([text], field)
+        out = pii.redacted_text(text, every)
+        assert again not in out and "30419" in out and set(found) <= set(every), out
+
+
+def test_field_edges_are_linear_and_skip_chain_neighbours():
+    n = 500
+    text = "call +12025550147, 12025550147" + " word 12025550147" * (n - 1)
+    graph = pii.Graph([text], [pii.base_spans(text)])
+    assert {(0, k) for k in range(2, n + 1)} <= {tuple(e) for e in graph.skip.tolist()} and (0, 1) not in {tuple(e) for e in graph.skip.tolist()}
+    assert len(graph.skip) < 2 * n + 2
+
+
 def brute_suffix(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):

@@ -2,7 +2,8 @@
 
 Four patterns give base spans, which always stay. The field then labels every token with a digit or an @: unary
 potentials from the token's shape and neighbours, chain potentials between adjacent tokens, and skip potentials
-between distant tokens that repeat or resemble each other (same letters, or same digits). Tokens inside base spans are
+between distant tokens that repeat or resemble each other (same letters, or same digits, also of numbers written in
+groups). Each repeat is tied to the one before it and to the first evidence of each kind. Tokens inside base spans are
 evidence; loopy belief propagation carries their labels along chain and skip edges, and a token whose belief in a kind
 exceeds a threshold becomes an added span. Weights are fitted by pseudo-likelihood on a bounded sample of documents
 (SAMPLE) whose labels are the base spans.
@@ -40,6 +41,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]{}<>"
+_GROUP = re.compile(r"[0-9+().-]+")
+#: Digits of a number that is a key: at least these, and at most these where it is written in groups.
+MIN_DIGITS, MAX_DIGITS = 7, 19
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -94,7 +98,7 @@ class Graph:
     """Tokens of many texts with a digit or an @, their chain and skip edges, and which base span holds each (label 0: none)."""
 
     def __init__(self, texts: list[str], spans: list[list[Span]]) -> None:
-        doc, start, end, label, shapes, keys, places = [], [], [], [], [], [], []
+        doc, start, end, label, shapes, keys, places, numbers = [], [], [], [], [], [], [], []
         for d, (text, found) in enumerate(zip(texts, spans, strict=True)):
             if not _ANY.search(text):
                 continue
@@ -112,7 +116,8 @@ class Graph:
                 number = "".join(c for c in bare if "0" <= c <= "9")
                 doc.append(d), start.append(a), end.append(b), label.append(held), places.append(place)
                 shapes.append(_shape(bare))
-                keys.append((d, number if len(number) >= 7 else bare.lower() if len(bare) >= 5 else ""))
+                keys.append((d, number if len(number) >= MIN_DIGITS else bare.lower() if len(bare) >= 5 else ""))
+                numbers.append(number if _GROUP.fullmatch(bare) else "")
         n = len(doc)
         self.doc, self.start, self.end, self.label = (np.array(x, dtype=np.int64) for x in (doc, start, end, label))
         shape = np.array(shapes, dtype=float).reshape(n, -1) if n else np.zeros((0, 23))
@@ -123,14 +128,40 @@ class Graph:
         sides[self.chain + 1, : shape.shape[1]] = shape[self.chain]
         sides[self.chain, shape.shape[1] :] = shape[self.chain + 1]
         self.features = np.hstack([shape, sides])
-        last: dict[tuple, int] = {}
-        skip = []
+        self.skip = self._skips(keys, numbers, near.tolist())
+
+    def _skips(self, keys: list[tuple[int, str]], numbers: list[str], near: list[bool]) -> np.ndarray:
+        """Pairs of tokens that repeat each other and that no chain edge joins. Each number written in adjacent groups counts under its joined digits."""
+        held: dict[tuple[int, str], list[list[tuple[int, int]]]] = {}  # key -> its places, each as tokens with their first digit's place
         for i, key in enumerate(keys):
             if key[1]:
-                if key in last and last[key] != i - 1:
-                    skip.append((last[key], i))
-                last[key] = i
-        self.skip = np.array(skip, dtype=np.int64).reshape(-1, 2)
+                held.setdefault(key, []).append([(i, 0)])
+            k, joined, run = i, numbers[i], [(i, 0)]
+            while k < len(near) and near[k] and joined and numbers[k + 1] and len(joined) + len(numbers[k + 1]) <= MAX_DIGITS:
+                k += 1
+                run = [*run, (k, len(joined))]
+                joined += numbers[k]
+                if len(joined) >= MIN_DIGITS:
+                    held.setdefault((key[0], joined), []).append(run)
+        skip = set()
+        for runs in held.values():
+            hubs: dict[int, list[tuple[int, int]]] = {}  # label -> the first place whose tokens all have it
+            before = None
+            for run in runs if len(runs) > 1 else ():
+                labels = {int(self.label[i]) for i, _ in run}
+                if len(labels) == 1 and (kind := labels.pop()):
+                    hubs.setdefault(kind, run)
+            for run in runs if len(runs) > 1 else ():
+                for other in [*([before] if before else []), *hubs.values()]:
+                    if other[-1][0] < run[0][0] or run[-1][0] < other[0][0]:
+                        # groups may be cut elsewhere: each goes with the one that holds its first digit
+                        for i, at in run:
+                            j = max(x for x in other if x[1] <= at)[0]
+                            a, b = min(i, j), max(i, j)
+                            if b - a > 1 or not near[a]:
+                                skip.add((a, b))
+                before = run
+        return np.array(sorted(skip), dtype=np.int64).reshape(-1, 2)
 
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both ends of every edge, and its kind: 0 chain, 1 skip."""
