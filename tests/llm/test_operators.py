@@ -431,6 +431,29 @@ def test_licences():
     assert len(s.scan(licences.NOTICES["mit-line"] * 2)) == 2 and not s.scan("this was under no restriction at all, licensed or not")
 
 
+def test_licence_gates_miss_nothing():
+    """Every allowed set of words missing (of long notices, some of them): each text is looked at as closely as without gates."""
+    rng = random.Random(7)
+    s, bare = licences.Scanner(licences.NOTICES), licences.Scanner(licences.NOTICES)
+    bare.gates = {}
+    for name, ws in bare.notices.items():
+        for w in set(ws):
+            bare.gates.setdefault(w, []).append(name)
+    bare.gate = re.compile("")
+    for name, ws in s.notices.items():
+        spare = len(ws) * 20 // 100
+        assert s.least[name] == len(ws) - spare
+        sets = [*itertools.combinations(range(len(ws)), spare)] if len(ws) < 20 else [rng.sample(range(len(ws)), spare) for _ in range(40)]
+        first = [i for i, w in enumerate(ws) if name in s.gates.get(w, ())][:spare]
+        for gone in [*sets, first]:
+            text = " ".join(f"other{i}" if i in gone else w for i, w in enumerate(ws))
+            hits = {w for w in licences.words(text) if name in s.gates.get(w, ())}
+            assert hits, (name, text)
+            if name in {x[0] for x in bare.scan(text)}:
+                assert name in {x[0] for x in s.scan(text)}, (name, text)
+    assert [x[0] for x in s.scan("Licensed under the MIT License.")] == ["mit-line"] and [x[0] for x in s.scan("Released under CC BY 4.0.")] == ["cc-by-4.0-line"]
+
+
 def test_patience():
     a, b = "x a b c q d e".split(), "a b z c d e".split()
     assert [(a[i], b[k]) for i, k in licences.patience(a, b)] == [(w, w) for w in "abcde"]

@@ -18,6 +18,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,8 +104,9 @@ class Scanner:
     """Notices with their gate words."""
 
     def __init__(self, notices: dict[str, str], coverage: float = MIN_COVERAGE) -> None:
-        self.coverage = coverage
         self.notices = {name: words(text) for name, text in notices.items()}
+        share = Fraction(str(coverage))  # as written: 0.8 * 5 is 4
+        self.least = {name: ceil(share * len(ws)) for name, ws in self.notices.items()}  # words that must be aligned
         held = Counter(w for ws in self.notices.values() for w in set(ws))
         self.gates: dict[str, list[str]] = {}  # gate word -> notices
         for name, ws in self.notices.items():
@@ -111,7 +114,7 @@ class Scanner:
             for w in sorted(counts, key=lambda w: (-len(w), held[w], w)):  # long words are the rarest in any text
                 self.gates.setdefault(w, []).append(name)
                 got += counts[w]
-                if got > (1 - coverage) * len(ws):
+                if len(ws) - got < self.least[name]:
                     break
         self.gate = re.compile("|".join(sorted(map(re.escape, self.gates), key=lambda w: (-len(w), w))))
 
@@ -137,7 +140,7 @@ class Scanner:
                 for slack in (len(notice) // 4 + 2, 2 * len(notice)):
                     start = max(free, at - place - slack)
                     pairs = patience(ws[start : at - place + len(notice) + slack], notice)
-                    if len(pairs) >= self.coverage * len(notice):
+                    if len(pairs) >= self.least[name]:
                         a, b = start + pairs[0][0], start + pairs[-1][0] + 1
                         if len(pairs) >= MIN_DENSITY * (b - a):
                             found.append((len(pairs) / len(notice), len(notice), name, a, b))
