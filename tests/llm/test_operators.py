@@ -420,6 +420,32 @@ def test_passages(docs):
         assert r.other_id != r.doc_id and len(a) >= 50 and r.similarity >= 0.8 and set(a) & set(b)
 
 
+def spans_of(rows, i):
+    return sorted((r.start_word, r.end_word, r.other_start, r.other_end) for r in rows if r.doc_id == i)
+
+
+@pytest.mark.parametrize("shared,between", [(60, 60), (200, 120), (70, 500)])
+def test_passages_that_one_chain_joins(spark, shared, between):
+    """Two shared passages about as far apart in both texts are two passages, however little agrees between them."""
+    rng = random.Random(shared)
+    fresh = lambda n, tag: " ".join(f"{tag}{rng.randrange(10**9)}" for _ in range(n))
+    p, q = fresh(shared, "p"), fresh(shared, "q")
+    rows = [(k, f"{fresh(9, 'a')} {p} {fresh(between + 7 * k, 'b')} {q} {fresh(9, 'c')}") for k in range(2)]
+    found = chaining.passages(frame(spark, rows)).collect()
+    a, b = between + 7, between
+    assert spans_of(found, 1) == [(9, 9 + shared, 9, 9 + shared), (9 + shared + a, 9 + 2 * shared + a, 9 + shared + b, 9 + 2 * shared + b)]
+
+
+def test_alignments_are_cut_where_words_differ():
+    n = lambda *x: np.concatenate([np.arange(*y) for y in x])
+    for s, d in ((60, 60), (200, 120), (50, 1000)):
+        a, b = n((0, s), (1000, 1000 + d), (5000, 5000 + s)), n((0, s), (2500, 2500 + d), (5000, 5000 + s))
+        assert chaining.aligned(a, b, [0, s + d], [0, s + d]) == [(0, s, 0, s, s), (s + d, s + d + s, s + d, s + d + s, s)]
+        longer = n((0, s), (2500, 2500 + d + 3), (5000, 5000 + s))
+        assert chaining.aligned(a, longer, [0, s + d], [0, s + d + 3]) == [(0, s, 0, s, s), (s + d, s + d + s, s + d + 3, s + d + s + 3, s)]
+    assert chaining.aligned(np.arange(100), np.r_[0:50, 777, 50:100], [0, 60], [0, 61]) == [(0, 100, 0, 101, 100)]
+
+
 def test_licences():
     s = licences.Scanner(licences.NOTICES)
     for name, text in licences.NOTICES.items():
