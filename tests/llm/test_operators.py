@@ -436,6 +436,46 @@ def test_passages_that_one_chain_joins(spark, shared, between):
     assert spans_of(found, 1) == [(9, 9 + shared, 9, 9 + shared), (9 + shared + a, 9 + 2 * shared + a, 9 + shared + b, 9 + 2 * shared + b)]
 
 
+def with_changes(rng, words, share):
+    """A share of the words replaced at random places, never the first or last."""
+    words = list(words)
+    for k in rng.sample(range(1, len(words) - 1), round(share * len(words))):
+        words[k] = f"z{rng.randrange(10**9)}"
+    return words
+
+
+def test_recall_of_edited_passages_with_stock_phrases(spark):
+    """Against brute force: passages in unlike surroundings, by length and share of changed words. Phrases of theirs occur in documents before."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want, i = [], {}, 10_000
+    for share in (0.0, 0.08, 0.1, 0.15):
+        for n in (51, 55, 60, 100):
+            for _ in range(8):
+                passage = fresh(n)
+                rows.append((i, [*fresh(20), *passage, *fresh(20)]))
+                rows.append((i + 1, [*fresh(33), *with_changes(rng, passage, share), *fresh(9)]))
+                want[i + 1] = (i, share, n)
+                # earlier documents with one phrase of it each, among them the document itself before the passage
+                for at in range(0, n - 8, 9):
+                    rows.append((len(rows), [*fresh(5), *passage[at : at + 8], *fresh(30)]))
+                rows[-1] = (rows[-1][0], rows[-1][1] + fresh(9) + passage[:8])
+                i += 2
+    found = {(r.doc_id, r.other_id) for r in chaining.passages(frame(spark, [(k, " ".join(w)) for k, w in rows])).collect() if r.end_word - r.start_word >= 50}
+    lost = Counter((share, n) for d, (o, share, n) in want.items() if (d, o) not in found)
+    assert sum(lost.values()) <= len(want) // 20 and not any(share == 0 for share, _ in lost), lost
+
+
+def test_second_copy_in_the_leading_document_of_a_task(spark):
+    rng = random.Random(12)
+    p = " ".join(f"p{rng.randrange(10**9)}" for _ in range(60))
+    fresh = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))
+    rows = [(1, f"{fresh()} {p} {fresh()}"), (3, f"{p} {fresh()} {p}"), (4, f"{fresh()} {p}")]
+    for parts in (1, 3):
+        docs = frame(spark, rows).repartitionByRange(parts, "doc_id")
+        assert spans_of(chaining.passages(docs).collect(), 3) == [(0, 60, 40, 100), (100, 160, 40, 100)]
+
+
 def test_alignments_are_cut_where_words_differ():
     n = lambda *x: np.concatenate([np.arange(*y) for y in x])
     for s, d in ((60, 60), (200, 120), (50, 1000)):
