@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the only white space that separates words here.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows that go to a Python worker at once while a table is staged: whole texts are wide, and executors hold a batch on both sides.
-_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: What goes to a Python worker at once at most: whole texts are wide, and executors hold a batch on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Row groups of staged tables, which a write task holds in memory.
+ROW_GROUP = {"parquet.block.size": str(16 << 20)}
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -40,12 +46,8 @@ def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     """df written as a table in the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
-    try:
-        df.write.options(**(options or {})).parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    bounded(spark)
+    df.write.options(**ROW_GROUP | (options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,5 +72,28 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH where they are larger. It holds from now on, as a plan reads it when it runs."""
+    for key, most in BATCH.items():
+        if not 0 < int(spark.conf.get(key).rstrip("bB") if spark.conf.get(key, None) else 0) <= most:
+            spark.conf.set(key, most)
+
+
+def released() -> None:
+    """Give memory that a task has freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """df through fn, batch by batch."""
+    bounded(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)

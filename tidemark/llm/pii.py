@@ -298,4 +298,4 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 columns[k] = pa.array([c if o == n else None if n is None else len(n) for o, n, c in zip(old, new, columns[k].to_pylist(), strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
