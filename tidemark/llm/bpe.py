@@ -63,7 +63,7 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, made  # made by rank
-        self.known: dict[str, tuple[str, str]] = {}
+        self.known: dict[str | tuple[str], tuple[str, str]] = {}
 
     def merged(self, words: list[bytes]) -> tuple[list[int], list[int]]:
         """The ids of all words, none of which is empty, and where each word's end."""
@@ -112,9 +112,9 @@ class WordBpe:
             at = end
         return {p: shown[ws[0]] if len(ws) == 1 else (" ".join([shown[w][0] for w in ws]), " ".join([shown[w][1] for w in ws])) for p, ws in found.items()}
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str | tuple[str]]:
         """What lies between white space, normalised; special tokens of the vocabulary stand alone as they are."""
-        out: list[str] = []
+        out: list[str | tuple[str]] = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else [text]):
             if k % 2:
                 out.append(part)
@@ -122,9 +122,9 @@ class WordBpe:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
-            # "\0" marks a piece that only looks like a special token after lower-casing
+            # a piece that only looks like a special token after lower-casing stands in a tuple, which no text can hold
             found = [x for x in _SPLIT.split(part) if x] if _ODD.search(part) else part.split()
-            out += [f"\0{x}" if "<|" in x and x in self.specials else x for x in found] if "<|" in part else found
+            out += [(x,) if "<|" in x and x in self.specials else x for x in found] if "<|" in part else found
         return out
 
     def encode(self, block: list[str]) -> list[tuple[str, str]]:
@@ -132,9 +132,9 @@ class WordBpe:
         cut = [self.pieces(t) for t in block]
         new = {p for ps in cut for p in ps if p not in self.known}
         special = {p: (str(i), p) for p, i in self.specials.items()}
-        marked = {p for p in new if p[0] == "\0" and p[1:] in self.specials}
+        marked = {p for p in new if isinstance(p, tuple)}
         made = self.learn({p for p in new if p not in special and p not in marked})
-        made |= {p: x for p in marked for x in [self.learn({p[1:]})[p[1:]]]}
+        made |= {p: self.learn({p[0]})[p[0]] for p in marked}
         made |= special
         known = self.known
         known.update(made)
