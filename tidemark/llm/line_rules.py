@@ -1,7 +1,7 @@
 """Quality rules, line first.
 
 Every line of a text is judged alone by punctuation, navigation and boilerplate rules; lines that fail are
-removed, and a document that loses more than half its words is rejected. Document-wide base figures
+removed from the text, and a document that loses more than half its words is rejected. Document-wide base figures
 (words, symbols, repeated lines and 5-word windows) are counted over the whole text beside it.
 
 All of it is built-in expressions on one row, so no row moves. Null or empty text has no words and fails the base
@@ -24,7 +24,12 @@ SYMBOLS = r"[#*$%&|<>]"
 SENTENCE_END = "[.!?…。]"
 SHOUTS = "[!?]"
 SEPARATORS = "[|»›•·]"
-BOILERPLATE = r"(?i)(all rights reserved|licensed under|released under|copyright|cookie|javascript|privacy policy|terms of (use|service)|lorem ipsum|click here|subscribe|sign up|log in)"
+BOILERPLATE = (
+    "all rights reserved|licensed under|released under|copyright|cookie|javascript|privacy policy|terms of (use|service)|lorem ipsum|click here|subscribe|sign up|log in"
+    "|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|hier klicken|jetzt anmelden|newsletter"
+    "|tous droits réservés|mentions légales|politique de confidentialité|conditions d'utilisation|cliquez ici|s'abonner|se connecter"
+    "|todos los derechos reservados|política de privacidad|aviso legal|términos de uso|haga clic aquí|suscríbete|iniciar sesión"
+)
 BOILERPLATE_MAX_WORDS = 20
 
 
@@ -41,7 +46,7 @@ def line_failures(line: Column, n_words: Column) -> Column:
         .when(~line.rlike(SENTENCE_END), "punctuation")
         .when(_count(line, SYMBOLS) * 3 >= n_words, "punctuation")
         .when(_count(line, SHOUTS) >= n_words, "punctuation")
-        .when((n_words <= BOILERPLATE_MAX_WORDS) & line.rlike(BOILERPLATE), "boilerplate")
+        .when((n_words <= BOILERPLATE_MAX_WORDS) & line.rlike(f"(?iu)({BOILERPLATE})"), "boilerplate")
     )
 
 
@@ -81,15 +86,20 @@ def judged(docs: DataFrame) -> DataFrame:
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= (1 - MIN_KEPT_SHARE) * F.col("n_words")))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id, kept and the text of the lines that pass, joined by newlines."""
+def _clean() -> Column:
+    """The text of the lines that pass, joined by newlines, from the columns of judged()."""
     lost = F.transform("bad", lambda x: x["line"])
-    return judged(docs).select("doc_id", "kept", F.array_join(F.filter("full", lambda x: ~F.array_contains(lost, x)), "\n").alias("clean_text"))
+    return F.when(F.size("bad") == 0, F.array_join("full", "\n")).otherwise(F.array_join(F.filter("full", lambda x: ~F.array_contains(lost, x)), "\n"))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """doc_id, kept and the cleaned text of each document."""
+    return judged(docs).select("doc_id", "kept", _clean().alias("clean_text"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """One row per document with its base figures and verdict."""
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words", F.size("bad").cast("long").alias("n_lost_lines"))
+    """One row per document with its base figures and verdict, what its failed lines take with them, and the digest of the text without these."""
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words", F.size("bad").cast("long").alias("n_lost_lines"), F.sha2(_clean().cast("binary"), 256).alias("clean_sha256"))
 
 
 def passing(docs: DataFrame) -> DataFrame:

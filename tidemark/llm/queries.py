@@ -60,24 +60,25 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY h)
 """
 
-#: Parameters: {docs}, a table or query of documents.
+#: Parameters: {docs}, a table or query of documents; {boilerplate}, the phrases.
 LINE_RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n
       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+l AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
              len(regexp_extract_all(line, '[|»›•·]')) AS seps, len(regexp_extract_all(line, '[#*$%&|<>]')) AS syms, len(regexp_extract_all(line, '[!?]')) AS shouts
-      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+      FROM (SELECT doc_id, pos, ls[pos] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d))) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 b AS (SELECT *, (seps >= 2 AND seps * 4 >= n) OR NOT regexp_matches(line, '[.!?…。]') OR syms * 3 >= n OR shouts >= n
-             OR (n <= 20 AND regexp_matches(line, '(?i)(all rights reserved|licensed under|released under|copyright|cookie|javascript|privacy policy|terms of (use|service)|lorem ipsum|click here|subscribe|sign up|log in)')) AS bad FROM l),
-s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (bad), 0) AS n_lost_words, count(*) FILTER (bad) AS n_lost_lines FROM b GROUP BY doc_id),
+             OR (n <= 20 AND regexp_matches(line, '(?i)({boilerplate})')) AS bad FROM l),
+s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (bad), 0) AS n_lost_words, count(*) FILTER (bad) AS n_lost_lines,
+             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '')) AS clean_sha256 FROM b GROUP BY doc_id),
 x AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-             coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words, coalesce(n_lost_lines, 0) AS n_lost_lines
+             coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words, coalesce(n_lost_lines, 0) AS n_lost_lines, coalesce(clean_sha256, sha256('')) AS clean_sha256
       FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * n_lost_words <= n_words AS kept, n_lost_words, n_lost_lines FROM x
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * n_lost_words <= n_words AS kept, n_lost_words, n_lost_lines, clean_sha256 FROM x
 """
 
 OP6_SQL = r"""
@@ -101,4 +102,4 @@ SELECT page_id, file, row_number() OVER f - 1 AS seq, CAST(coalesce(sum(octet_le
 FROM r WINDOW f AS (PARTITION BY file ORDER BY page_id)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_line_rules": LINE_RULES_SQL.format(docs="documents"), "op4_warc_fixity": OP4_SQL, "op6_jaccard_join": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_line_rules": LINE_RULES_SQL.format(docs="documents", boilerplate=line_rules.BOILERPLATE.replace("'", "''")), "op4_warc_fixity": OP4_SQL, "op6_jaccard_join": OP6_SQL}
