@@ -1,12 +1,15 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Four patterns give base spans, which always stay. The field then labels every token with a digit or an @: unary
-potentials from the token's shape and neighbours, chain potentials between adjacent tokens, and skip potentials
-between distant tokens that repeat or resemble each other (same letters, or same digits, also of numbers written in
-groups). Each repeat is tied to the one before it and to the first evidence of each kind. Tokens inside base spans are
-evidence; loopy belief propagation carries their labels along chain and skip edges, and a token whose belief in a kind
-exceeds a threshold becomes an added span. Weights are fitted by pseudo-likelihood on a bounded sample of documents
-(SAMPLE) whose labels are the base spans.
+Four patterns give base spans, which always stay. Values that a cue names (token = "...") are evidence of a fifth kind, secret. The field labels every
+token with a digit, an @ or a spelled-out (at): unary potentials from the token's shape, its neighbours and cue words before it, chain potentials between adjacent tokens, and
+skip potentials between distant tokens that repeat or resemble each other (same letters and digits whatever stands between them, or same digits, also of
+numbers written in groups). Each repeat is tied to the one before it and to the first evidence of each kind. Tokens inside base spans and
+cued values are evidence; loopy belief propagation carries their labels along chain and skip edges, and a token whose belief in a kind
+exceeds a threshold becomes an added span.
+
+Weights are fitted by pseudo-likelihood on a bounded sample of documents (SAMPLE documents of at most SAMPLE_CHARS characters). So that the field doesn't just learn
+the patterns, each of them is taken twice: as it is, and with its spans repeated at its end in a form that no pattern or cue matches (without the
+plus, the @, the separators, the cue), labelled with their kinds.
 
 Null or empty text has no spans; doc_id is carried, null and repeated ones too; other columns are ignored by the search and
 kept by redaction. Long texts take linear time. Equal texts get equal spans. An empty table gives no rows and fits no weights.
@@ -26,19 +29,26 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_map, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose tokens the weights are fitted on at most, taken in order of a hash of doc_id and text.
-SAMPLE = 1000
+#: Kinds of spans, the last of which no base pattern finds.
+ALL_KINDS = (*KINDS, "secret")
+#: Documents whose tokens the weights are fitted on at most, taken in order of a hash of doc_id and text, and characters that each of them has at most.
+SAMPLE, SAMPLE_CHARS = 1000, 8000
 #: Least belief of an added span, rounds of message passing, damping of messages.
 BELIEF, ROUNDS, DAMPING = 0.95, 12, 0.3
 #: Prior of the skip potential: repeated tokens tend to share a label.
-SKIP_PRIOR = 3.0
+SKIP_PRIOR = 4.0
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]")
+_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]")
+#: Words that name what follows them, by kind; a secret's value is long and mixes letters and digits.
+CUES = (("mail", "email", "e-mail", "contact"), ("ip", "host", "server", "address"), ("card", "visa", "mastercard", "credit"), ("phone", "tel", "call", "dial", "mobile"), ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key"))
+_CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES[4]))})[\"']?\x20{{0,3}}[=:]\x20{{0,3}}[\"']?([A-Za-z0-9+/_.~-]{{12,}})", re.IGNORECASE)
+_CUE = {w: k for k, ws in enumerate(CUES) for w in ws}
+_SPELLED = re.compile(r"[(\[](?:at|dot)[)\]]|[^a-z0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]{}<>"
 _GROUP = re.compile(r"[0-9+().-]+")
@@ -76,8 +86,42 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
+def cued_spans(text: str, base: list[Span]) -> list[Span]:
+    """Values that a cue names as secrets, beside the base spans."""
+    if "=" not in text and ":" not in text:
+        return []
+    low = text.lower()
+    if not any(w in low for w in CUES[4]):
+        return []
+    found = ((4, m.start(1), m.end(1)) for m in _CUED.finditer(text) if any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]))
+    return [x for x in found if not any(a < x[2] and b > x[1] for _, a, b in base)]
+
+
+def evidence(text: str) -> list[Span]:
+    """Base spans and cued ones, in order."""
+    base = base_spans(text)
+    more = cued_spans(text, base)
+    return sorted(base + more, key=lambda s: (s[1], s[0], s[2])) if more else base
+
+
 def shown(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def disguised(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """text with a repeat of each kind's first span at its end, in a form that no pattern or cue matches, and the spans of all."""
+    filler = [w for w in _TOKEN.findall(text[:400]) if w.isalpha()][:12] or ["and"]
+    out, found, seen = text, list(spans), set()
+    for kind, a, b in spans:
+        value = text[a:b]
+        if kind in seen or "\n" in value:
+            continue
+        seen.add(kind)
+        value = {0: value.replace("@", "(at)"), 1: value.replace(".", "-"), 2: re.sub("[ -]", ".", value) if re.search("[ -]", value) else f"{value[:4]}.{value[4:]}", 3: value[1:]}.get(kind, value)
+        out += "\n" + " ".join(filler) + " "
+        found.append((kind, len(out), len(out) + len(value)))
+        out += value
+    return out, found
 
 
 def _shape(token: str) -> list[int]:
@@ -99,13 +143,17 @@ class Graph:
 
     def __init__(self, texts: list[str], spans: list[list[Span]]) -> None:
         doc, start, end, label, shapes, keys, places, numbers = [], [], [], [], [], [], [], []
+        none = [0] * len(CUES)
         for d, (text, found) in enumerate(zip(texts, spans, strict=True)):
             if not _ANY.search(text):
                 continue
             j = 0
             order = sorted(found, key=lambda s: s[2])
+            cue, cue_at = 0, -9
             for place, m in enumerate(_TOKEN.finditer(text)):
                 if not _ANY.search(m[0]):
+                    if len(m[0]) <= 14 and (k := _CUE.get(m[0].strip(_EDGES + "=").lower())) is not None:
+                        cue, cue_at = k, place
                     continue
                 bare = m[0].strip(_EDGES)
                 a = m.start() + m[0].find(bare) if bare else m.start()
@@ -115,12 +163,17 @@ class Graph:
                 held = next((s[0] + 1 for s in order[j : j + 4] if s[1] < b and s[2] > a), 0)
                 number = "".join(c for c in bare if "0" <= c <= "9")
                 doc.append(d), start.append(a), end.append(b), label.append(held), places.append(place)
-                shapes.append(_shape(bare))
-                keys.append((d, number if len(number) >= MIN_DIGITS else bare.lower() if len(bare) >= 5 else ""))
+                named = none.copy()
+                if place - cue_at <= 3:
+                    named[cue] = 1
+                shapes.append(_shape(bare) + named)
+                letters = len(bare) > len(number) and any(c.isalpha() for c in bare)
+                alike = _SPELLED.sub("", bare.lower()) if letters else ""
+                keys.append((d, alike if len(alike) >= 8 else number if len(number) >= MIN_DIGITS else bare.lower() if len(bare) >= 5 else ""))
                 numbers.append(number if _GROUP.fullmatch(bare) else "")
         n = len(doc)
         self.doc, self.start, self.end, self.label = (np.array(x, dtype=np.int64) for x in (doc, start, end, label))
-        shape = np.array(shapes, dtype=float).reshape(n, -1) if n else np.zeros((0, 23))
+        shape = np.array(shapes, dtype=float).reshape(n, -1) if n else np.zeros((0, 23 + len(CUES)))
         place = np.array(places, dtype=np.int64)
         near = (self.doc[1:] == self.doc[:-1]) & (place[1:] - place[:-1] == 1) if n else np.zeros(0, dtype=bool)
         self.chain = np.flatnonzero(near)
@@ -179,7 +232,7 @@ class Field:
     @classmethod
     def fitted(cls, graph: Graph, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
         """By gradient ascent on the pseudo-likelihood, with the skip potential shrunk towards its prior."""
-        k = len(KINDS) + 1
+        k = len(ALL_KINDS) + 1
         unary, pair = np.zeros((graph.features.shape[1], k)), np.stack([np.zeros((k, k)), np.eye(k) * SKIP_PRIOR])
         prior = pair.copy()
         n = len(graph.label)
@@ -228,18 +281,37 @@ class Field:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Weights from at most sample documents that have a digit or an @. They are chosen by hashes alone; then only their texts travel."""
-    rows = texts(docs).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("doc_id", "text"))
+    """Weights from at most sample documents that have a digit or an @ and at most SAMPLE_CHARS characters. They are chosen by hashes alone; then only their texts travel."""
+    rows = texts(docs).where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("doc_id", "text"))
     chosen = rows.select("h", F.col("doc_id").alias("id")).orderBy("h", "id").limit(sample).select(F.col("h").alias("g")).distinct()
     few = F.broadcast(docs.sparkSession.createDataFrame(chosen.collect(), "g long"))  # sample rows at most
     found = [r["text"] for r in sorted(rows.join(few, rows.h == F.col("g"), "left_semi").limit(sample).collect(), key=lambda r: (r["h"], r["text"]))]
-    return Field.fitted(Graph(found, [base_spans(t) for t in found]))
+    return trained(found)
+
+
+def _everywhere(text: str, spans: list[Span]) -> list[Span]:
+    """The spans and all other places of their values."""
+    out = {(a, b): (k, a, b) for k, a, b in spans}
+    for k, value in {(k, text[a:b]) for k, a, b in spans}:
+        at = text.find(value)
+        while at >= 0:
+            out.setdefault((at, at + len(value)), (k, at, at + len(value)))
+            at = text.find(value, at + len(value))
+    return sorted(out.values(), key=lambda s: (s[1], s[0], s[2]))
+
+
+def trained(found: list[str]) -> Field:
+    """Weights from texts, each as it is and with its spans repeated in disguise."""
+    pairs = [(t, _everywhere(t, evidence(t))) for t in found]
+    pairs += [disguised(t, s) for t, s in pairs if s]
+    return Field.fitted(Graph([t for t, _ in pairs], [s for _, s in pairs]))
 
 
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
-    graph = Graph(texts, base)
+    known = [sorted(x + more, key=lambda s: (s[1], s[0], s[2])) if (more := cued_spans(t, x)) else x for t, x in zip(texts, base, strict=True)]
+    graph = Graph(texts, known)
     added: dict[int, list[Span]] = {}
     if len(graph.doc):
         p = field.beliefs(graph)
@@ -251,7 +323,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Spa
                 mine[-1] = (kind, mine[-1][1], b)  # neighbours of one kind make one span
             else:
                 mine.append((kind, a, b))
-    return [(x, sorted(x + added[d], key=lambda s: (s[1], s[0], s[2])) if d in added else x) for d, x in enumerate(base)]
+    return [(x, sorted(y + added[d], key=lambda s: (s[1], s[0], s[2])) if d in added else y) for d, (x, y) in enumerate(zip(base, known, strict=True))]
 
 
 def spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -274,7 +346,7 @@ def redacted_text(text: str, found: list[Span]) -> str:
     out, at = [], 0
     for kind, a, b in found:
         if a >= at:
-            out += [text[at:a], f"<{KINDS[kind].upper()}>"]
+            out += [text[at:a], f"<{ALL_KINDS[kind].upper()}>"]
             at = b
         elif b > at:  # overlaps the one before: its rest goes too
             at = b
