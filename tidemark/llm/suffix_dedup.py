@@ -11,8 +11,8 @@ or the same document at an earlier place) is removed; windows are judged on the
 3. Anchors with more than one context are contested. The contexts' bytes go to shards by anchor. Each shard sorts its suffixes by
    Larsson and Sadakane's refinement (only groups still unsorted are sorted again, by the ranks h bytes further on, h doubling),
    computes common prefixes by Kasai's rule for all contexts in lockstep, and flags every window whose first 100 bytes an
-   earlier one has. An anchor with very many contexts is dealt to several shards; their classes are sorted lists, merged across
-   shards by binary search: each list's windows are looked up in the merged order of all, of which the earliest stays.
+   earlier one has. An anchor with very many contexts is dealt to several shards; the digests of their classes are sorted lists, cut into ranges and merged
+   across shards by binary search: each list's windows are looked up in the merged order of all, of which the earliest stays.
 4. Removed runs are united per document.
 
 Strings are compared by 64-bit hashes in steps 1 and 2 and across shards (128 bits there), by bytes within shards.
@@ -255,8 +255,11 @@ def _runs(doc: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[new], low[new], low[np.r_[new[1:] - 1, len(low) - 1]] if len(doc) else low
 
 
-def _shard(table: pa.Table) -> pa.Table:
-    """Of a shard: runs of repeated windows, and for anchors dealt to several shards each class's digest and earliest window."""
+_LISTS = "range int, keys binary, doc_id long, low long, high long, docs binary, lows binary"
+
+
+def _shard(table: pa.Table, ranges: int) -> pa.Table:
+    """Of a shard: runs of repeated windows (range null), and of anchors dealt to several shards the sorted digests of classes, in ranges, with each class's earliest window."""
     docs, lows = (table.column(c).to_numpy() for c in ("doc_id", "low"))
     contexts = table.column("context").to_pylist()
     dealt = table.column("dealt").to_numpy(zero_copy_only=False).astype(bool)
@@ -266,15 +269,45 @@ def _shard(table: pa.Table) -> pa.Table:
     repeat = ~same
     d, a, b = _runs(doc[repeat], low[repeat])
     lead = np.flatnonzero((first == np.arange(len(first))) & dealt[context])
-    digests = [hashlib.blake2b(contexts[context[i]][place[i] : place[i] + WINDOW], digest_size=16).digest() for i in lead.tolist()]
+    keys = np.array([hashlib.blake2b(contexts[context[i]][place[i] : place[i] + WINDOW], digest_size=16).digest() for i in lead.tolist()], dtype="S16")
+    order = np.argsort(keys, kind="stable")
+    keys, lead = keys[order], lead[order]
+    part = keys.view(">u2").reshape(-1, 8)[:, 0].astype(np.int64) * ranges >> 16
+    cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)] if len(part) else []
+    lists = list(zip(cuts, cuts[1:], strict=False))
+    m, n = len(d), len(lists)
+    packed = lambda x: pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([x[i:j].tobytes() for i, j in lists], pa.binary())])
     return pa.table(
         {
-            "digest": pa.concat_arrays([pa.nulls(len(d), pa.binary()), pa.array(digests, pa.binary())]),
-            "doc_id": np.r_[d, doc[lead]], "low": np.r_[a, low[lead]], "high": np.r_[b, low[lead]],
+            "range": pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array([int(part[i]) for i, _ in lists], pa.int32())]), "keys": packed(keys),
+            **{c: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(n, pa.int64())]) for c, x in (("doc_id", d), ("low", a), ("high", b))},
+            "docs": packed(doc[lead]), "lows": packed(low[lead]),
         }
     )
 
 
+def merged_lists(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted lists (digest, doc, place): the windows that an earlier one repeats, as doc and place."""
+    every = lists[0][0]
+    for keys, _, _ in lists[1:]:  # each list's new digests go to where a binary search puts them
+        at = np.searchsorted(every, keys)
+        new = every[np.minimum(at, len(every) - 1)] != keys
+        every = np.insert(every, at[new], keys[new])
+    at = np.concatenate([np.searchsorted(every, keys) for keys, _, _ in lists])
+    doc, low = (np.concatenate([x[k] for x in lists]) for k in (1, 2))
+    order = np.lexsort((low, doc, at))
+    at, doc, low = at[order], doc[order], low[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1]], np.arange(len(at)), 0))
+    later = (doc != doc[first]) | (low != low[first])
+    return doc[later], low[later]
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    lists = [(np.frombuffer(k, dtype="S16"), np.frombuffer(d, dtype="<i8"), np.frombuffer(w, dtype="<i8")) for k, d, w in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "lows")), strict=True)]
+    doc, low = merged_lists(lists)
+    return pa.table({"doc_id": doc, "low": low, "high": low})
+
+
 def _contested(contested: DataFrame, docs: DataFrame) -> DataFrame:
     """Runs of repeated windows (doc_id, low, high) among contested contexts."""
     many = staged(contested.groupBy("anchor").agg(F.count("*").alias("n")), "anchors")
@@ -306,14 +339,12 @@ def _contested(contested: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(context, pa.binary()), pa.array(dealt, pa.bool_())], ["shard", "doc_id", "low", "context", "dealt"])
 
     pieces = arrow_map(rows, cut, "shard long, doc_id long, low long, context binary, dealt boolean")
-    found = staged(pieces.groupBy("shard").applyInArrow(_shard, "digest binary, doc_id long, low long, high long"), "windows")
-    inside = found.where("digest is null").select("doc_id", "low", "high")
+    ranges = min(shards, 1 << 16)
+    found = staged(pieces.groupBy("shard").applyInArrow(lambda table: _shard(table, ranges), _LISTS), "windows")
+    inside = found.where("range is null").select("doc_id", "low", "high")
     if wide.isEmpty():
         return inside
-    classes = found.where("digest is not null").select("digest", "doc_id", "low")
-    earliest = staged(classes.groupBy("digest").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "earliest")
-    across = classes.join(earliest, "digest").where("doc_id <> first.doc_id or low <> first.low")
-    return inside.unionByName(across.select("doc_id", "low", F.col("low").alias("high")))
+    return inside.unionByName(found.where("range is not null").groupBy("range").applyInArrow(_merge, "doc_id long, low long, high long"))
 
 
 def _kept(data: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, str]:
