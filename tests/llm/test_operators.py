@@ -379,7 +379,8 @@ def test_field_on_held_out_repeats():
 def test_secrets_are_added_and_clean_texts_left_alone(spark):
     secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(1, f'set token = "{secret}" now. {prose(random.Random(1), 40)} then {secret} again'), (2, "no tokens: here, only words and 12 numbers of 2024"), (3, f"an id {secret} without a cue")]
-    field = pii.trained([r[1] for r in rows[:2]] * 20)
+    rng = random.Random(8)
+    field = pii.trained([f'{prose(rng, 20)} token = "{rng.getrandbits(160):040x}" {prose(rng, 20)}' for _ in range(60)])
     got = table(pii.spans(frame(spark, rows), field))
     assert got[1].spans == ",".join(f"secret:{m.start()}:{m.end()}" for m in re.finditer(secret, rows[0][1])) and got[1].n_added == 2
     assert got[2].spans == "" and hashlib.sha256(b"").hexdigest() == got[1].base_sha256
@@ -428,6 +429,21 @@ def test_suffix_of_repeated_rows(spark, parts):
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *x) for i, x in want.items()}
 
 
+def test_lists_merged_by_binary_search():
+    rng = random.Random(14)
+    for _ in range(50):
+        lists, first = [], {}
+        for _ in range(rng.randint(1, 6)):
+            rows = sorted({rng.randrange(40): (rng.randrange(9), rng.randrange(9)) for _ in range(rng.randint(1, 30))}.items())
+            key = lambda k: hashlib.blake2b(b"%d" % k, digest_size=15).digest() + b"\0"
+            rows = sorted((key(k), *x) for k, x in rows)
+            lists.append(tuple(np.array(c, dtype=t) for c, t in zip(zip(*rows, strict=True), ("S16", np.int64, np.int64), strict=True)))
+            for k, d, w in rows:
+                first[k] = min(first.get(k, (d, w)), (d, w))
+        want = sorted((d, w) for x in lists for k, d, w in zip(*(c.tolist() for c in x), strict=True) if (d, w) != first[k.ljust(16, b"\0")])
+        assert sorted(zip(*(c.tolist() for c in suffix_dedup.merged_lists(lists)), strict=True)) == want
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(8)
     for _ in range(40):
