@@ -49,6 +49,43 @@ def test_retention(spark, tmp_path):
     assert sorted(r.id for r in store.read_metrics(spark, path).collect()) == [2, 3]
 
 
+def test_retention_and_compaction_after_a_crash(spark, tmp_path):
+    rows = [(i, "a", 1.0, datetime.datetime(2024, 1, 2, h), "x", {}) for i, h in enumerate((0, 12))]
+    path = str(tmp_path / "m")
+    store.write_metrics(spark.createDataFrame(rows, "id long, name string, value double, timestamp timestamp, agent_id string, tags map<string,string>"), path)
+    (tmp_path / "m/date=2024-01-02").rename(tmp_path / "m/_gone_2024-01-02")
+    delete_before(spark, path, datetime.datetime(2024, 1, 2, 6))
+    assert [r.id for r in store.read_metrics(spark, path).collect()] == [1] and not [p for p in (tmp_path / "m").iterdir() if p.name.startswith(("_gone", "_rewrite"))]
+    r = Registry(spark, str(tmp_path / "log"))
+    r.seed(), r.add(Agent("b", "h", 1)), r.compact()
+    (tmp_path / "log").rename(tmp_path / "log_new")
+    assert {a.id for a in r.agents().collect()} == {"agent-1", "b"}
+
+
+def test_due_in_another_zone(spark, tmp_path, monkeypatch):
+    from tidemark.api import Service
+
+    monkeypatch.setenv("TZ", "America/New_York"), time.tzset()
+    try:
+        s = Service(spark, str(tmp_path))
+        s.create(Agent("x", "127.0.0.1", 9))
+        now = datetime.datetime.now(datetime.UTC)
+        spark.createDataFrame([("x", now - datetime.timedelta(hours=1), now - datetime.timedelta(hours=1), 1, "success", None)], s.runs().schema).write.parquet(s.runs_path)
+        s.scrape_due()
+        assert s.runs().count() == 2
+        s.scrape_due(now)
+        assert s.runs().count() == 2
+    finally:
+        monkeypatch.undo(), time.tzset()
+
+
+def test_replayed_round_is_stored_once(spark, tmp_path):
+    df = spark.createDataFrame([("A", "up 1 1700000000000")], "agent_id string, body string").selectExpr("agent_id", "timestamp'2024-01-01 00:00:00' as scraped_at", "body", "cast(null as string) as error")
+    for _ in range(2):
+        ingest.store_batch(df, str(tmp_path / "m"), str(tmp_path / "runs"), "7")
+    assert store.read_metrics(spark, str(tmp_path / "m")).count() == 1 == spark.read.parquet(str(tmp_path / "runs")).count()
+
+
 @pytest.fixture
 def exposed():
     class Handler(http.server.BaseHTTPRequestHandler):
@@ -114,9 +151,20 @@ def test_service(spark, tmp_path, exposed):
     assert row["name"] == "own" and s.stats().first().total_agents == 2
     s.delete("ok", hard=True)
     assert not s.agent_metrics("ok", "2024-01-01", "2024-01-02").isEmpty()
+    assert s.cycle(datetime.datetime(2024, 1, 1)).first().agents == 2
+    s.stop("bad")
+    s.scrape_due(datetime.datetime.now() + datetime.timedelta(minutes=5))
+    assert s.runs().count() == before + 1
+    s.restart("bad")
+    assert s.runs().count() == before + 2
+    s.create(Agent("late", "127.0.0.1", exposed, scrape_interval_seconds=0)), s.registry.patch("bad", scrape_interval_seconds=1)
     query = s.start("1 second")
+    s.create(Agent("later", "127.0.0.1", exposed))
     until = time.time() + 60
-    while time.time() < until and query.exception() is None and s.runs().where("agent_id = 'bad'").count() < 2:
+    while time.time() < until and query.exception() is None and s.runs().where("agent_id = 'bad'").count() < 3:
+        time.sleep(1)
+    while time.time() < until and query.exception() is None and s.runs().where("agent_id = 'later'").isEmpty():
         time.sleep(1)
     s.stop()
+    assert not s.runs().where("agent_id = 'later'").isEmpty()
     assert query.exception() is None and not query.isActive and s.runs().where("agent_id = 'bad'").count() > 1

@@ -25,6 +25,7 @@ class Service:
         self.registry = Registry(spark, f"{root}/agents_log")
         self.metrics_path, self.runs_path = f"{root}/metrics", f"{root}/scrape_runs"
         self.query: StreamingQuery | None = None
+        self.stopped: set[str] = set()
 
     def _table(self, path: str, schema) -> DataFrame:  # noqa: ANN001
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,7 +74,8 @@ class Service:
         return runs.worker_stats(self.runs())
 
     def scraper_status(self) -> DataFrame:
-        return runs.error_summary(self.scraper_stats())
+        """One row: workers with an error, workers, agents that have one."""
+        return runs.error_summary(self.scraper_stats()).withColumn("total_agents", F.col("active_workers"))
 
     def scraper_errors(self) -> DataFrame:
         return runs.errors(self.scraper_stats())
@@ -85,28 +87,39 @@ class Service:
             targets = targets.where(F.col("id") == self.agent(agent_id).id)
         ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
 
-    def scrape_due(self, now: datetime.datetime | None = None) -> None:
-        """One round over the agents whose own interval has passed. The registry is read anew, so new agents join and disabled ones leave."""
-        at = (now or datetime.datetime.now()).isoformat(sep=" ")
+    def scrape_due(self, now: datetime.datetime | None = None, round_id: str | None = None) -> None:
+        """One round over the agents whose own interval has passed, but those that are stopped. The registry is read anew, so new agents join and disabled ones leave."""
+        at = retention.utc_text(now or datetime.datetime.now(datetime.UTC))
         due = runs.due(self.registry.agents(), self.scraper_stats(), at).withColumnRenamed("agent_id", "id")
-        targets = self.registry.agents().join(due, "id", "left_semi")
-        ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
+        targets = self.registry.agents().join(due, "id", "left_semi").where(~F.col("id").isin(*self.stopped))
+        ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path, round_id)
 
     def start(self, every: str = "30 seconds") -> StreamingQuery:
-        """Scrape and store as a stream until stop()."""
-        bodies = scrape.scrape_stream(self.spark, self.registry.agents())
-        self.query = ingest.start(bodies, self.metrics_path, self.runs_path, f"{self.root}/checkpoint", every)
+        """A round of scrape_due() each trigger until stop(): executors fetch, MAX_CONCURRENT at once."""
+        self.query = ingest.each_round(scrape.rounds(self.spark), lambda _, k: self.scrape_due(round_id=str(k)), f"{self.root}/checkpoint", every)
         return self.query
 
-    def stop(self) -> None:
-        if self.query is not None:
+    def stop(self, agent_id: str | None = None) -> None:
+        """Stop all rounds, or leave out one agent from the next on."""
+        if agent_id is not None:
+            self.stopped.add(self.agent(agent_id).id)
+        elif self.query is not None:
             self.query.stop()
             self.query = None
 
-    def restart(self, every: str = "30 seconds") -> StreamingQuery:
+    def restart(self, agent_id: str | None = None, every: str = "30 seconds") -> StreamingQuery | None:
+        """Restart all rounds, or scrape one agent now and take it into the rounds again."""
+        if agent_id is not None:
+            self.stopped.discard(agent_id)
+            self.scrape_now(agent_id)
+            return self.query
         self.stop()
         return self.start(every)
 
+    def cycle(self, since: datetime.datetime) -> DataFrame:
+        """Samples, agents and milliseconds of the runs since a time."""
+        return runs.cycle_summary(self.runs().where(F.col("started_at") >= F.lit(retention.utc_text(since)).cast("timestamp")))
+
     # Samples
 
     def save_metric(self, name: str, value: float, agent_id: str, tags: dict[str, str] | None = None, at: datetime.datetime | None = None) -> None:

@@ -43,10 +43,12 @@ class Registry:
         self.spark, self.path = spark, path
 
     def log(self) -> DataFrame:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], AGENTS_LOG)
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path(self.path)):
+            if not fs.exists(fs_path(f"{self.path}_new/_SUCCESS")):
+                return self.spark.createDataFrame([], AGENTS_LOG)
+            fs.rename(fs_path(f"{self.path}_new"), fs_path(self.path))  # a compaction broke off between its two renames
         return self.spark.read.schema(AGENTS_LOG).parquet(self.path)
 
     def agents(self) -> DataFrame:
@@ -124,7 +126,13 @@ class Registry:
         return self.patch(agent_id, last_scrape_at=at, last_scrape_status=status)
 
     def compact(self) -> None:
-        """The log with the latest versions alone. They are read in full before the old files go."""
+        """The log with the latest versions alone. They are whole beside the old log before it is set aside."""
         rows = self.agents().collect()  # one small row per agent
         log = self.spark.createDataFrame([(*r, "put", k + 1) for k, r in enumerate(rows)], AGENTS_LOG)
-        log.coalesce(1).write.mode("overwrite").parquet(self.path)
+        log.coalesce(1).write.mode("overwrite").parquet(f"{self.path}_new")
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(fs_path(f"{self.path}_old"), True)
+        fs.rename(fs_path(self.path), fs_path(f"{self.path}_old"))
+        fs.rename(fs_path(f"{self.path}_new"), fs_path(self.path))
+        fs.delete(fs_path(f"{self.path}_old"), True)

@@ -8,12 +8,32 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+def utc_text(at: datetime.datetime) -> str:
+    """A time as text in UTC, which sessions here cast text in. One without a zone is local time, as createDataFrame takes it."""
+    return at.astimezone(datetime.UTC).replace(tzinfo=None).isoformat(sep=" ")
+
+
+def _recovered(fs, fs_path, path: str) -> None:  # noqa: ANN001
+    """Finish or undo what a run that broke off has left: a day's old rows aside (_gone_), its new ones not yet in place (_rewrite_)."""
+    there = [s.getPath().getName() for s in fs.listStatus(fs_path(path))]
+    for name in there:
+        if name.startswith("_gone_"):
+            day = name.removeprefix("_gone_")
+            if f"date={day}" not in there:
+                source = f"_rewrite_{day}" if f"_rewrite_{day}" in there else name
+                fs.rename(fs_path(f"{path}/{source}"), fs_path(f"{path}/date={day}"))
+            fs.delete(fs_path(f"{path}/{name}"), True)
+
+
 def delete_before(spark: SparkSession, path: str, threshold: datetime.datetime) -> list[str]:
-    """Drop the folders of days before the threshold's and rewrite that day alone. Returns the dropped days. Only folder names are listed, no row before that day is read."""
+    """Drop the folders of days before the threshold's and rewrite that day alone. Returns the dropped days. Only folder names are listed, no row before that day is read.
+    The new rows of the threshold's day are whole before the old ones are set aside; a call after one that broke off recovers that day first."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    _recovered(fs, fs_path, path)
+    at = utc_text(threshold)
     days = sorted(s.getPath().getName().removeprefix("date=") for s in fs.listStatus(fs_path(path)) if s.getPath().getName().startswith("date="))
-    cut = threshold.date().isoformat()
+    cut = at[:10]
     gone = [d for d in days if d < cut]
     for d in gone:
         fs.delete(fs_path(f"{path}/date={d}"), True)
@@ -21,7 +41,8 @@ def delete_before(spark: SparkSession, path: str, threshold: datetime.datetime)
         rows = spark.read.parquet(f"{path}/date={cut}")
         kind = rows.schema["timestamp"].dataType.simpleString()
         aside = f"{path}/_rewrite_{cut}"
-        rows.where(F.col("timestamp") >= F.lit(threshold.isoformat(sep=" ")).cast(kind)).write.mode("overwrite").parquet(aside)
-        fs.delete(fs_path(f"{path}/date={cut}"), True)
+        rows.where(F.col("timestamp") >= F.lit(at).cast(kind)).write.mode("overwrite").parquet(aside)
+        fs.rename(fs_path(f"{path}/date={cut}"), fs_path(f"{path}/_gone_{cut}"))
         fs.rename(fs_path(aside), fs_path(f"{path}/date={cut}"))
+        fs.delete(fs_path(f"{path}/_gone_{cut}"), True)
     return gone

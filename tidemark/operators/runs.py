@@ -34,6 +34,12 @@ def error_summary(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count_if(F.col("last_error").isNotNull()).alias("total_errors"), F.count("*").alias("active_workers"))
 
 
+def cycle_summary(runs: DataFrame) -> DataFrame:
+    """Of the runs of a round: samples, agents and milliseconds from the first start to the last end."""
+    took = F.unix_micros(F.max("finished_at").cast("timestamp")) - F.unix_micros(F.min("started_at").cast("timestamp"))
+    return runs.agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("samples"), F.count_distinct("agent_id").alias("agents"), (took / 1000).cast("long").alias("ms"))
+
+
 def stale_workers(stats: DataFrame, now: str, minutes: int = 5) -> DataFrame:
     """Workers whose last run is more than minutes before now."""
     kind = stats.schema["last_run_at"].dataType.simpleString()

@@ -5,13 +5,12 @@ from __future__ import annotations
 
 import datetime
 import json
-import time
 import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_CONCURRENT, TIMEOUT_SECONDS = 10, 5
 _SCHEMA = "agent_id string, scraped_at timestamp, body string, error string"
@@ -45,27 +44,6 @@ class _Reader(DataSourceReader):
             yield fetch(agent)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict) -> None:
-        self.agents = json.loads(options["agents"])
-        self.last: dict[str, float] = {}
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"round": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = time.time()
-        due = [a for a in self.agents if now >= self.last.get(a["id"], 0) + a.get("scrape_interval_seconds", 15)]
-        self.last |= {a["id"]: now for a in due}
-        return iter([fetch(a) for a in due]), {"round": start["round"] + 1}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([])  # what an agent exposed then can't be asked for again
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
 class ScrapeSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -77,9 +55,6 @@ class ScrapeSource(DataSource):
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: ANN001, N802
-        return _StreamReader(self.options)
-
 
 def _options(agents: DataFrame) -> str:
     columns = ["id", "host", "port", "path", "scrape_interval_seconds", "timeout_seconds"]
@@ -92,10 +67,9 @@ def scrape(spark: SparkSession, agents: DataFrame, max_concurrent: int = MAX_CON
     return spark.read.format("scrape").option("agents", _options(agents)).option("max_concurrent", max_concurrent).load()
 
 
-def scrape_stream(spark: SparkSession, agents: DataFrame) -> DataFrame:
-    """A stream of bodies; each trigger scrapes the agents whose interval has passed."""
-    spark.dataSource.register(ScrapeSource)
-    return spark.readStream.format("scrape").option("agents", _options(agents)).load()
+def rounds(spark: SparkSession) -> DataFrame:
+    """A stream that has rows at each trigger: its batches are rounds of scraping, whose bodies executors fetch as a batch."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
 
 def bodies_from_files(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,9 @@ from tidemark.functions.tags import tag_hash
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """Append samples, a folder per day; within a file by name and time, so that row groups can be skipped."""
+    """Append samples, a folder per day; within a file by name and time, so that row groups can be skipped. A large day is split over as many tasks as its size asks for."""
     rows = metrics.withColumn("date", F.to_date("timestamp"))
-    rows.repartition("date", F.pmod(F.xxhash64("name", "agent_id"), F.lit(8))).sortWithinPartitions("date", "name", "timestamp").write.mode(mode).partitionBy("date").parquet(path)
+    rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", "name", "timestamp").write.mode(mode).partitionBy("date").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

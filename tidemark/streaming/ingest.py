@@ -5,6 +5,8 @@ time gets its body's, one for all its lines."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +18,7 @@ from tidemark.sources.store import write_metrics
 
 
 def samples(bodies: DataFrame) -> DataFrame:
-    """bodies: agent_id, scraped_at, body. Samples as rows of the metrics table; ids are hashes of batch-independent content and place."""
+    """bodies: agent_id, scraped_at, body. Samples as rows of the metrics table; ids are hashes of their content and of their row's place in the batch."""
     rows = parse(bodies.select("agent_id", "scraped_at", "body"))
     at = F.coalesce("timestamp", "scraped_at")
     ident = F.xxhash64("agent_id", "scraped_at", "name", "value", at, F.array_sort(F.map_entries("tags")).cast("string"), F.monotonically_increasing_id())
@@ -30,20 +32,33 @@ def runs(bodies: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("agent_id", F.col("scraped_at").alias("started_at"), F.current_timestamp().alias("finished_at"), n.alias("n_samples"), status(n, F.col("error")).alias("status"), "error")
 
 
-def store_batch(bodies: DataFrame, metrics_path: str, runs_path: str) -> None:
-    """One round: samples appended, then the runs that tell of them."""
+def store_batch(bodies: DataFrame, metrics_path: str, runs_path: str, round_id: str | None = None) -> None:
+    """One round: samples appended, then the runs that tell of them, then a mark for round_id. A round that has its mark already is not stored again."""
+    spark = bodies.sparkSession
+    if round_id is not None:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{runs_path}_rounds/{round_id}")
+        fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(mark):
+            return
     bodies = bodies.persist()  # fetched once: what agents expose changes
     try:
         write_metrics(samples(bodies), metrics_path)
         counts = parse(bodies.select("agent_id", "scraped_at", "body")).groupBy("agent_id", "scraped_at").agg(F.count("*").alias("n_samples"))
         runs(bodies, counts).write.mode("append").parquet(runs_path)
+        if round_id is not None:
+            fs.create(mark).close()
     finally:
         bodies.unpersist()
 
 
 def start(bodies: DataFrame, metrics_path: str, runs_path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
     """Store a stream of bodies, a round per trigger; every=None takes what is there and ends."""
-    writer = bodies.writeStream.foreachBatch(lambda batch, _: store_batch(batch, metrics_path, runs_path)).option("checkpointLocation", checkpoint)
+    return each_round(bodies, lambda batch, k: store_batch(batch, metrics_path, runs_path, str(k)), checkpoint, every)
+
+
+def each_round(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    """act on each batch of a stream and its number."""
+    writer = stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
