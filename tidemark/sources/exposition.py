@@ -7,36 +7,29 @@ keys wins, and agent_id is always the scraped agent. A line that doesn't fit is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.tags import trimmed_quotes
-
-
-def _value(text: Column) -> Column:
-    """A double by Java's grammar, null if none: the words for infinity and not-a-number count only as Java spells them."""
-    word = F.lower(F.trim(text)).rlike("^[+-]?(inf|infinity|nan)[df]?$")
-    return F.when(word & ~F.trim(text).rlike("^[+-]?(Infinity|NaN)$"), F.lit(None)).otherwise(F.expr("try_cast(value_text as double)"))
+#: An entry of exactly two parts: key, value without the quotes around it.
+_ENTRY = r'(?:^|,)([^,=]*)="*([^,=]*?)"*(?=,|\z)'
 
 
 def parse(bodies: DataFrame) -> DataFrame:
     """bodies: agent_id, body (other columns are kept). Returns these without body, and name, value, timestamp (null if the line has none), tags."""
     others = [c for c in bodies.columns if c not in ("body", "name", "value", "timestamp", "tags")]
-    lines = bodies.select(*others, F.explode(F.split("body", "\r\n|\n|\r")).alias("line"))
-    lines = lines.where(~F.startswith(F.col("line"), F.lit("#")) & F.col("line").rlike(r"\S"))
-    parts = lines.withColumn("parts", F.split("line", " ", -1)).where(F.size("parts") >= 2)
-    cut = parts.select(*others, F.get("parts", F.lit(0)).alias("head"), F.get("parts", F.lit(1)).alias("value_text"), F.get("parts", F.lit(2)).alias("time_text"))
-    opened = F.instr("head", "{")
-    closed = F.length("head") + 1 - F.instr(F.reverse("head"), "}")
-    cut = cut.withColumn("opened", opened).withColumn("closed", F.when(F.contains(F.col("head"), F.lit("}")), closed).otherwise(F.lit(0)))
-    fits = (F.col("opened") == 0) | (F.col("closed") > F.col("opened"))
+    # lines are cut inside the generator, so that the filters below read their parts and don't cut them again; a blank line has no value
+    lines = F.transform(F.split("body", "\r\n|\n|\r"), lambda x: F.split(x, " ", -1))
+    rows = bodies.select(*others, F.explode(lines).alias("parts")).where(F.size("parts") >= 2)
+    rows = rows.select(*others, F.get("parts", F.lit(0)).alias("head"), F.get("parts", F.lit(1)).alias("value_text"), F.get("parts", F.lit(2)).alias("time_text"))
+    rows = rows.where(~F.startswith(F.col("head"), F.lit("#")))
+    # the words for infinity and not-a-number count only as Java spells them
+    word = F.lower("value_text").rlike("^[+-]?(inf|infinity|nan)[df]?$") & ~F.col("value_text").rlike("^[+-]?(Infinity|NaN)$")
     millis = F.when(F.col("time_text").rlike("^[+-]?[0-9]+$"), F.expr("try_cast(time_text as bigint)"))
-    inner = F.expr("substring(head, opened + 1, closed - opened - 1)")
-    entries = F.filter(F.transform(F.split(inner, ","), lambda e: F.split(e, "=")), lambda e: F.size(e) == 2)
-    own = F.map_from_entries(F.transform(entries, lambda e: F.struct(e[0].alias("key"), trimmed_quotes(e[1]).alias("value"))))
-    none = F.create_map().cast("map<string,string>")
-    tags = F.map_concat(F.when(F.col("opened") > 0, own).otherwise(none), F.create_map(F.lit("agent_id"), F.col("agent_id")))
-    out = cut.where(fits).withColumn("value", _value(F.col("value_text"))).withColumn("millis", millis)
-    out = out.where(F.col("value").isNotNull() & (F.col("time_text").isNull() | F.col("millis").isNotNull()))
-    name = F.when(F.col("opened") > 0, F.expr("substring(head, 1, opened - 1)")).otherwise(F.col("head"))
-    return out.select(*others, name.alias("name"), "value", F.timestamp_millis("millis").alias("timestamp"), tags.alias("tags"))
+    opened = F.instr("head", "{")
+    closed = F.when(F.contains(F.col("head"), F.lit("}")), F.length("head") + 1 - F.instr(F.reverse("head"), "}")).otherwise(0)
+    rows = rows.where(((opened == 0) | (closed > opened)) & ~word & F.expr("try_cast(value_text as double)").isNotNull() & (F.col("time_text").isNull() | millis.isNotNull()))
+    inner = F.when(opened > 0, F.substring(F.col("head"), opened + 1, closed - opened - 1)).otherwise("")
+    keys, values = (F.regexp_extract_all(inner, F.lit(_ENTRY), F.lit(k)) for k in (1, 2))
+    tags = F.map_from_arrays(F.concat(keys, F.array(F.lit("agent_id"))), F.concat(values, F.array("agent_id")))
+    name = F.when(opened > 0, F.substring(F.col("head"), F.lit(1), opened - 1)).otherwise(F.col("head"))
+    return rows.select(*others, name.alias("name"), F.col("value_text").cast("double").alias("value"), F.timestamp_millis(millis).alias("timestamp"), tags.alias("tags"))
