@@ -66,6 +66,28 @@ def test_tags(metrics, spark):
     assert sorted((r.id, r.tag_key, r.tag_value) for r in more.collect()) == [(1, "k", "1"), (2, "k", "2"), (3, "a", "z"), (4, "k", "3")]
 
 
+def test_numbers_of_pairs_over_many_ranges(spark):
+    from tidemark.sources import store
+
+    pairs = [("k" if i % 3 else f"k{i}", f"{i * 7919 % 5000:05d}") for i in range(5000)]
+    want = {p: i for i, p in enumerate(sorted(pairs), 11)}
+    frame = tq.pair_frame(spark, pairs).repartition(16)
+    for _ in range(2):
+        assert {(r.tag_key, r.tag_value): r.id for r in store.numbered(frame, 10).collect()} == want
+
+
+def test_jdbc_store(spark):
+    from tidemark.sources import store
+
+    url, driver = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, float(i) / 2, None if i == 3 else f"a{i}") for i in range(250)], "id long, value double, agent_id string")
+    store.write_jdbc(rows.where("id < 100"), url, "samples", driver)
+    store.write_jdbc(rows.where("id >= 100"), url, "samples", driver)
+    assert sorted(map(tuple, store.read_jdbc(spark, url, "samples", properties=driver).collect())) == sorted(map(tuple, rows.collect()))
+    cut = store.read_jdbc(spark, url, "samples", "id", (0, 250), 5, driver)
+    assert cut.rdd.getNumPartitions() == 5 and cut.where("id between 90 and 110").count() == 21
+
+
 def test_nan_and_empty_aggregates(metrics):
     (row,) = mq.bucketed(metrics.where("name = 'b'"), "1 day").collect()
     assert row.max_value != row.max_value and row.sample_count == 2

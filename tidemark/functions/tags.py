@@ -1,4 +1,4 @@
-"""Tags: the dictionary hash and map helpers."""
+"""Tags: the dictionary hash."""
 
 from __future__ import annotations
 
@@ -18,7 +18,3 @@ def tag_hash(key: Column, value: Column) -> Column:
     h = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0).cast("long"), step)
     signed = F.when(h >= 2**31, h - 2**32).otherwise(h)
     return F.when(signed < 0, F.concat(F.lit("-"), F.lower(F.hex(-signed)))).otherwise(F.lower(F.hex(signed)))
-
-
-def trimmed_quotes(text: Column) -> Column:
-    return F.btrim(text, F.lit('"'))

@@ -47,9 +47,9 @@ def find(agents: DataFrame, enabled: bool | None = None, host: str | None = None
     return agents
 
 
-def page(agents: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """A page of rows in an order; the id breaks ties."""
-    return agents.orderBy(*order, "id").offset(number * size).limit(size)
+def page(rows: DataFrame, number: int, size: int, *order: Column, ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A page of rows (agents, metrics, tags; links by their two columns) in an order; ties breaks what it leaves open."""
+    return rows.orderBy(*order, *ties).offset(number * size).limit(size)
 
 
 def stats(agents: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import numbered
+
 
 def by_pair(dictionary: DataFrame, key: str, value: str) -> DataFrame:
     """The entry of a pair; no row if none. Pairs are unique, hashes need not be."""
@@ -56,15 +58,6 @@ def attached(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def extended(dictionary: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The dictionary with the pairs it lacked; new ids follow the largest, in order of key and value within each key."""
-    from pyspark.sql import Window
-
-    from tidemark.functions.tags import tag_hash
-
-    new = missing_pairs(pairs, dictionary)
-    per_key = new.groupBy("tag_key").agg(F.count("*").alias("n"))
-    firsts = per_key.select(F.col("tag_key").alias("of_key"), F.coalesce(F.sum("n").over(Window.orderBy("tag_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    """The dictionary with the pairs it lacked; new ids follow the largest, in order of key and value."""
     last = dictionary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
-    rank = F.row_number().over(Window.partitionBy("tag_key").orderBy("tag_value"))
-    added = new.withColumn("rank", rank).join(firsts, F.col("tag_key") == F.col("of_key")).select((F.lit(last) + F.col("first") + F.col("rank")).cast("long").alias("id"), "tag_key", "tag_value", tag_hash(F.col("tag_key"), F.col("tag_value")).alias("hash"))
-    return dictionary.select("id", "tag_key", "tag_value", "hash").unionByName(added)
+    return dictionary.select("id", "tag_key", "tag_value", "hash").unionByName(numbered(missing_pairs(pairs, dictionary), last))

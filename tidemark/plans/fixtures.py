@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_dir
 from tidemark.sources import store
 
 
@@ -18,12 +22,27 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+#: Views stored by this process: of application, folder and name, the path.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """A normalised view, written to the shared folder when first asked for, as an engine that keeps dictionary and links as tables has them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        made().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def tags_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.tags_dict(metrics(spark, sf_dir))
+    return _stored(spark, sf_dir, "tags_dict", lambda: store.tags_dict(metrics(spark, sf_dir)))
 
 
 def metric_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.metric_tags(metrics(spark, sf_dir), tags_dict(spark, sf_dir))
+    """Links, in order of their entry, so that those of one lie in few row groups."""
+    return _stored(spark, sf_dir, "metric_tags", lambda: store.metric_tags(metrics(spark, sf_dir), tags_dict(spark, sf_dir)).orderBy("tag_dict_id", "metric_id"))
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:

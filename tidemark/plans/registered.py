@@ -293,6 +293,21 @@ _agents_query("stale_agents", lambda a: ag.stale(a, "2024-01-29 00:00:00"), "WHE
 _agents_query("agents_page", lambda a: ag.page(a, 2, 10, F.desc_nulls_first("last_scrape_at")), "ORDER BY last_scrape_at DESC NULLS FIRST, id LIMIT 10 OFFSET 20")
 
 
+@_query(f'SELECT {_ROW} FROM metrics ORDER BY value DESC, id LIMIT 25 OFFSET 50')
+def metrics_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.page(metrics(spark, sf_dir), 2, 25, F.desc("value")).select("id", "name", "value", "timestamp", "agent_id")
+
+
+@_query(f"SELECT {_HASHED} FROM tags_dict ORDER BY tag_value DESC NULLS LAST, id LIMIT 20 OFFSET 20")
+def tags_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.page(tags_dict(spark, sf_dir), 1, 20, F.desc_nulls_last("tag_value")).select("id", "tag_key", "tag_value")
+
+
+@_query("SELECT metric_id, tag_dict_id FROM metric_tags ORDER BY metric_id DESC, tag_dict_id LIMIT 50 OFFSET 100")
+def links_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.page(metric_tags(spark, sf_dir), 2, 50, F.desc("metric_id"), ties=("tag_dict_id",))
+
+
 @_query("""SELECT CAST(count(*) AS INTEGER) AS total_agents, CAST(count(*) FILTER (enabled) AS INTEGER) AS enabled_agents, CAST(count(*) FILTER (NOT enabled) AS INTEGER) AS disabled_agents,
     CAST(count(*) FILTER (last_scrape_status = 'success') AS INTEGER) AS successful_scrapes, CAST(count(*) FILTER (last_scrape_status <> 'success') AS INTEGER) AS failed_scrapes, CAST(count(*) FILTER (last_scrape_at IS NULL) AS INTEGER) AS never_scraped FROM agents""")
 def agents_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -19,3 +21,14 @@ def session(app: str = "tidemark", **more: str) -> SparkSession:
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The application's folder in the one that driver and executors share (spark.checkpoint.dir). One of our own is made only where none is named and the master is local (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.tags import tag_hash
+from tidemark.session import shared_dir
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
@@ -33,14 +36,23 @@ def metric_tag_pairs(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.col("id").alias("metric_id"), F.explode("tags").alias("tag_key", "tag_value"))
 
 
+def numbered(pairs: DataFrame, after: int = 0) -> DataFrame:
+    """Distinct pairs as dictionary rows, with ids that follow `after` in order of key and value. Sorted by ranges, so that neither a key nor the dictionary
+    lies in one task; only the ranges' counts meet in one place. The sorted pairs are written to the shared folder, as ranges may be drawn otherwise if they are sorted again."""
+    spark = pairs.sparkSession
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    pairs.orderBy("tag_key", "tag_value").select("tag_key", "tag_value", F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    # the upper bits of at are the range, the lower 33 the place in it
+    rows = spark.read.schema("tag_key string, tag_value string, at long").parquet(path).withColumn("slice", F.shiftright("at", 33))
+    counts = rows.groupBy(F.col("slice").alias("of")).agg(F.count("*").alias("n"))
+    firsts = counts.select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    ident = F.lit(after + 1) + F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(firsts, F.col("slice") == F.col("of")).select(ident.cast("long").alias("id"), "tag_key", "tag_value", tag_hash(F.col("tag_key"), F.col("tag_value")).alias("hash"))
+
+
 def tags_dict(metrics: DataFrame) -> DataFrame:
-    """Distinct pairs with a number in order of key and value, and the hash. Pairs are distinct before they are numbered: the numbering sees the dictionary only."""
-    pairs = metric_tag_pairs(metrics).select("tag_key", "tag_value").distinct()
-    # numbered within a key, after the keys before it: no task holds the whole dictionary
-    counts = pairs.groupBy("tag_key").agg(F.count("*").alias("n"))
-    firsts = counts.select(F.col("tag_key").alias("of_key"), F.coalesce(F.sum("n").over(Window.orderBy("tag_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    numbered = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("tag_key").orderBy("tag_value")))
-    return numbered.join(firsts, numbered.tag_key == firsts.of_key).select((F.col("first") + F.col("rank")).cast("long").alias("id"), "tag_key", "tag_value", tag_hash(F.col("tag_key"), F.col("tag_value")).alias("hash"))
+    """Distinct pairs with a number in order of key and value, and the hash."""
+    return numbered(metric_tag_pairs(metrics).select("tag_key", "tag_value").distinct())
 
 
 def metric_tags(metrics: DataFrame, dictionary: DataFrame) -> DataFrame:
