@@ -219,7 +219,13 @@ def test_components(spark):
         for a, b in edges:
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
-    assert {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == label
+    links = spark.createDataFrame([*edges, (None, 3), (5, None)], "a long, b long")
+    assert {r.id: r.label for r in components(links).collect()} == label
+    for most in (1, 3):  # ids with more links than that are hubs
+        assert {r.id: r.label for r in components(links.unionByName(links), most).collect()} == label
+    assert components(links.where("a > 1000")).collect() == []
+    star = spark.range(1, 500).selectExpr("0L as a", "id as b")
+    assert {(r.id, r.label) for r in components(star, 20).collect()} == {(i, 0) for i in range(500)}
 
 
 def check_packing(rows, got, capacity):
