@@ -52,7 +52,7 @@ COUNT_BLOCK, EARLY = 1_000_000, np.uint64(int(0.35 * 2**64))
 PAIRS_PER_SET, REDEALT = 4000, 2
 #: Pairs of outsiders and members beyond which a region recurses, and recursions at most before the rest meet directly.
 LEAF, DEPTH = 4_000_000, 5
-#: Members of a region up to which its pairs are formed by a join; those of larger ones are formed and tried in blocks of BLOCK members.
+#: Members of a region up to which its pairs are formed by a join; those of larger ones are formed and tried in blocks of about BLOCK.
 SMALL, BLOCK = 64, 2000
 
 
@@ -200,24 +200,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def _met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of outsiders and members of other components that no window rules out. rows: id, n, label, main.
-    Regions of one main component are taken together, as they share most members: a pair is tried once, not once for each region. More than BLOCK
-    members are dealt into blocks, and each two blocks meet in a task of their own, so no task holds more than 2 BLOCK members."""
+    Regions of one main component are taken together, as they share most members: a pair is tried once, not once for each region. Outsiders and
+    members are dealt into blocks of about BLOCK, and each block of outsiders meets each block of members in a task of its own: m members and o
+    outsiders travel as 2 o m / BLOCK rows at most, or as o + m if one block holds all outsiders."""
     rows = staged(rows.select("main", "id", "n", "label").distinct(), "together")
-    rows = rows.join(rows.groupBy("main").agg(F.count("*").alias("m")), "main")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "label", "main").join(sets.select("id", "parts"), "id")
+    sizes = rows.groupBy("main").agg(F.count_if(F.col("label") != F.col("main")).alias("o"), F.count("*").alias("m"))
+    rows = rows.join(sizes, "main").withColumn("i_n", F.ceil(F.col("o") / BLOCK).cast("int")).withColumn("j_n", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = F.xxhash64("id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["id", "n", "label", "main"]
+    outsiders = rows.where("label <> main").select(*columns, F.lit(True).alias("out"), F.pmod(own, "i_n").cast("int").alias("i"), every("j_n").alias("j"))
+    members = rows.where("o > 0").select(*columns, F.lit(False).alias("out"), every("i_n").alias("i"), F.pmod(own, "j_n").cast("int").alias("j"))
+    dealt = outsiders.unionByName(members).join(sets.select("id", "parts"), "id")
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, n, label, main = (table.column(c).to_numpy() for c in ("id", "n", "label", "main"))
+        ids, n, label, main, outer = (table.column(c).to_numpy() for c in (*columns, "out"))
         parts = table.column("parts").to_pylist()
         width = np.array([len(p) for p in parts])
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for wide in np.unique(width):
             for narrow in np.unique(width[(width <= wide) & (200 * width >= percent * wide)]):  # no wider step between sizes alike; outsiders and members come in either order
                 for xs, ys in ((wide, narrow), (narrow, wide)) if narrow < wide else ((wide, wide),):
-                    out, rest = np.flatnonzero((width == xs) & (label != main)), np.flatnonzero(width == ys)
+                    out, rest = np.flatnonzero((width == xs) & outer), np.flatnonzero((width == ys) & ~outer)
                     if not len(out) or not len(rest):
                         continue
                     a, b = (np.stack([np.frombuffer(parts[k], dtype=np.uint8) for k in which]).reshape(len(which), narrow, -1).sum(axis=2).astype(np.int16) for which in (out, rest))
