@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, and edge cases."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -731,7 +732,47 @@ def test_warc(spark, pages, tmp_path):
     (tmp_path / "a.warc").write_bytes(data)
     back = warc.read(spark, str(tmp_path)).collect()
     assert len(back) == 102 and {bytes(r.body).decode() for r in back} == {r.html or "" for r in pages.where("page_id < 100").collect()}
-    assert len(list(warc.parsed(data[:-300]))) < 102
+    assert all(r.error is None for r in back)
+
+
+def test_warc_files_damaged_or_gzip(spark, pages, tmp_path):
+    rows = [bytes(r.record) for r in warc.records(pages).where("page_id < 40").orderBy("page_id", "url").collect()]
+    whole = [x[:3] for x in warc.parsed(b"".join(rows))]
+    assert len(whole) == len(rows) and list(warc.parsed(b"")) == []
+    for spoil in (lambda x: x.replace(b"WARC/1.0", b"XARC/1.0"), lambda x: x.replace(b"Content-Length: ", b"Content-Length: x"), lambda x: x.replace(b"Content-Length: ", b"Content-Length: 9"), lambda x: x[:-9]):
+        got = list(warc.parsed(b"".join([*rows[:5], spoil(rows[5]), *rows[6:]])))
+        good = [x for x in got if x[3] is None]
+        assert len(good) == len(rows) - 1 and [x[2] for x in good] == [x[2] for x in whole[:5] + whole[6:]] and [x[0] for x in got if x[3]] == [whole[5][0]]
+    assert [x[3] for x in warc.parsed(b"".join(rows)[:-3])] == [None] * (len(rows) - 1) + ["cut short"]
+    packed = [gzip.compress(x) for x in rows]
+    broken = packed[7][:30] + bytes([packed[7][30] ^ 255]) + packed[7][31:]
+    for name, data in (("a", b"".join(packed)), ("b", b"".join([*packed[:7], broken, *packed[8:]])), ("c", b"".join(packed)[:-4]), ("d", b"")):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    back = defaultdict(list)
+    for r in warc.read(spark, str(tmp_path)).orderBy("file", "offset").collect():
+        back[r.file.rpartition("/")[2][0]].append(r)
+    starts = [sum(map(len, packed[:k])) for k in range(len(packed))]
+    assert [(r.offset, bytes(r.body)) for r in back["a"]] == list(zip(starts, (x[2] for x in whole), strict=True))
+    assert [bytes(r.body) for r in back["b"] if r.error is None] == [x[2] for x in whole[:7] + whole[8:]] and starts[7] in {r.offset for r in back["b"] if r.error}
+    assert [r.error for r in back["c"]] == [None] * (len(rows) - 1) + ["damaged gzip"] and not back["d"]
+
+
+def test_warc_hot_page_ids(spark, monkeypatch):
+    """A page_id, or none, with most of the rows: other urls, equal records, and more of them than one task lays out."""
+    monkeypatch.setattr(warc, "COPIES", 7)
+    rows = [(None, f"u{i}", "x" * (i % 9)) for i in range(6000)] + [(5, "u", "same")] * 100 + [(5, None, str(i % 50)) for i in range(300)] + [(-3, "n", "y"), (-1 << 33, "n", "y"), (4, "u", "z"), (6, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(warc.manifest(pages).collect(), key=lambda r: (r.file, r.seq))
+    assert Counter((r.page_id, r.sha256, r.length) for r in got) == Counter((r.page_id, hashlib.sha256(r.record).hexdigest(), len(r.record)) for r in warc.records(pages).collect())
+    for _, of_file in itertools.groupby(got, key=lambda r: r.file):
+        of_file = list(of_file)
+        assert [r.seq for r in of_file] == list(range(len(of_file))) and [r.offset for r in of_file] == [0, *itertools.accumulate(r.length for r in of_file)][:-1]
+        ids = [(r.page_id is not None, r.page_id or 0) for r in of_file]
+        assert ids == sorted(ids)
+    assert all(r.intact for r in warc.fixity(pages, pages).collect())
+    replica = pages.withColumn("html", F.when(F.col("url") == "u4321", F.translate("html", "x", "q")).otherwise(F.col("html")))
+    bad = [r for r in warc.fixity(pages, replica).collect() if not r.intact]
+    assert len(bad) == 1 and bad[0].page_id is None
 
 
 def test_audit_finds_what_differs(pages, empty):
