@@ -17,7 +17,8 @@ empty set; at a similarity of 0.8, two sets link exactly when 9 D(x, y) <= |x| +
    change a component.
 
 Why single shingles come first: texts that share nothing are at distance 1 from each other, so a pivot that is a document
-tells no two of them apart; document pivots do their work inside the regions.
+tells no two of them apart; document pivots do their work inside the regions. In effect step 2 is a prefix filter on shingles: it,
+and not document pivots, makes the candidates.
 
 Shingles are compared as 64-bit hashes. A null text or one without words has an empty set, links with nothing and is its own
 component. Rows that repeat a doc_id are one document: where their texts differ, each row counts its own set and their links join,
