@@ -51,7 +51,7 @@ class Run:
         self.rows, self.n = rows, rows.count()
 
     def filter(self, bits: int) -> DataFrame:
-        spots = self.rows.select(F.pmod(F.xxhash64("digest"), F.lit(bits)).alias("at")).groupBy("at").agg(F.sum("n").alias("c"))
+        spots = self.rows.select(F.pmod(F.xxhash64("digest"), F.lit(bits)).alias("at"), "n").groupBy("at").agg(F.sum("n").alias("c"))
         bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
         return spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("once"), F.bit_or(F.when(F.col("c") > 1, bit).otherwise(F.lit(0).cast("long"))).alias("twice"))
 
