@@ -56,8 +56,8 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
-        #: Whether no token goes on with a space after another character.
-        self.cuts = not any(re.search(rb"[^ \t-\r] ", x) for x in (*self.a_bytes, *self.b_bytes))
+        #: Whether no token goes on with a space after a character that isn't white space.
+        self.cuts = not any(re.search(r"\S ", x.decode(errors="replace")) for x in (*self.a_bytes, *self.b_bytes))
         self.pairs = len(shown) * len(pieces)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
