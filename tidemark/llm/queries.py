@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import alignment, bpe, chaining, exact_dedup, jaccard_join, licences, line_rules, packing, periods, pii, suffix_dedup, warc
+from tidemark.llm import alignment, bpe, chaining, exact_dedup, jaccard_join, kneser_ney, licences, line_rules, packing, periods, pii, suffix_dedup, warc
 from tidemark.llm.common import documents
 
 
@@ -56,11 +56,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.runs(documents(spark, sf_dir))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scores(documents(spark, sf_dir))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.links(documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op3_collinear_chaining, op4_warc_fixity, op5_bpe, op6_jaccard_join, op7_best_fit_packing, op8_license_scan, op9_suffix_dedup, op10_pii, op11_periodic_runs, op13_cross_tokenizer_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_rules, op3_collinear_chaining, op4_warc_fixity, op5_bpe, op6_jaccard_join, op7_best_fit_packing, op8_license_scan, op9_suffix_dedup, op10_pii, op11_periodic_runs, op12_lm_scoring, op13_cross_tokenizer_alignment)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
