@@ -25,6 +25,8 @@ from tidemark.llm.common import SPACE, staged, texts
 BROADCAST_IDS, BROADCAST_ROWS = 1_000_000, 100_000
 #: Runs of a level that are compacted to one of the next; bits of a filter for each entry.
 FANOUT, BITS = 4, 16
+#: Runs that a whole table is flushed as: the first FANOUT fill a level and are compacted, the others with them at the end.
+RUNS = 6
 #: White-space runs that are not one plain space already.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -67,14 +69,25 @@ class DigestIndex:
         """One sorted run (memtables) and, where a level is full of runs, their compaction. Returns the run's entries: doc_id, digest."""
         entries = texts(docs).select("doc_id", self.digest(normalised(F.col("text"))).alias("digest"))
         self.flushed.append(staged(entries.sortWithinPartitions("digest", "doc_id"), "run"))
-        self.levels[0].append(Run(self.flushed[-1].select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))))
+        self._add(self.flushed[-1])
+        return self.flushed[-1]
+
+    def load(self, docs: DataFrame, runs: int) -> None:
+        """Entries of a whole table as so many runs, with each text read once. Runs are slices by a hash of the identifier, one table sorted by slice, so copies of a text lie in different runs."""
+        slice_of = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("slice")
+        table = staged(texts(docs).select("doc_id", self.digest(normalised(F.col("text"))).alias("digest"), slice_of).sortWithinPartitions("slice", "digest", "doc_id"), "runs")
+        self.flushed.append(table.drop("slice"))
+        for k in range(runs):
+            self._add(table.where(F.col("slice") == k))
+
+    def _add(self, entries: DataFrame) -> None:
+        self.levels[0].append(Run(entries.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))))
         k = 0
         while len(self.levels[k]) >= FANOUT:
             self.levels += [[]] if k + 1 == len(self.levels) else []
             self.levels[k + 1].append(self._merged(self.levels[k]))
             self.levels[k] = []
             k += 1
-        return self.flushed[-1]
 
     def entries(self) -> DataFrame:
         out = self.flushed[0]
@@ -154,7 +167,7 @@ class DigestIndex:
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     index = DigestIndex(digest)
-    index.flush(docs)
+    index.load(docs, RUNS)
     index.compact()
     return index.lookup(docs).select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 

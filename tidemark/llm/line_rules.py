@@ -71,9 +71,12 @@ def judged(docs: DataFrame) -> DataFrame:
     n = F.size("w")
     d = d.withColumn("hashes", F.transform(F.slice("w", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(F.col("w"), i + k) for k in range(1, WINDOW)))))
     d = d.withColumn("full", F.filter("lines", lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != ""))
-    d = d.withColumn("bad", F.filter(F.transform("full", lambda x: F.struct(x.alias("line"), F.size(F.split(F.btrim(x, F.lit(" \t\x0b\f\r")), SPACE)).alias("n"))), lambda x: line_failures(x["line"], x["n"]).isNotNull()))
+    # each line is judged once: its words are counted and its failure is kept beside it, so that failed and passing lines are told apart without looking lines up
+    count = lambda x: F.size(F.split(F.btrim(x, F.lit(" \t\x0b\f\r")), SPACE))
+    d = d.withColumn("judged", F.transform(F.transform("full", lambda x: F.struct(x.alias("line"), count(x).alias("n"))), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_failures(x["line"], x["n"]).isNotNull().alias("bad"))))
+    d = d.withColumn("bad", F.filter("judged", lambda x: x["bad"]))
     d = d.select(
-        "doc_id", "text", "full", "bad",
+        "doc_id", "text", "judged", "bad",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -88,8 +91,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def _clean() -> Column:
     """The text of the lines that pass, joined by newlines, from the columns of judged()."""
-    lost = F.transform("bad", lambda x: x["line"])
-    return F.when(F.size("bad") == 0, F.array_join("full", "\n")).otherwise(F.array_join(F.filter("full", lambda x: ~F.array_contains(lost, x)), "\n"))
+    return F.array_join(F.transform(F.filter("judged", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
