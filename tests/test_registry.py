@@ -1,12 +1,16 @@
+import concurrent.futures
 import datetime
 import http.server
 import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import retention
 from tidemark.operators.registry import Agent, Conflict, Missing, Registry
 from tidemark.operators.retention import delete_before
+from tidemark.sources import files as files_module
 from tidemark.sources import scrape, store
 from tidemark.streaming import ingest
 
@@ -40,26 +44,90 @@ def test_life_of_an_agent(spark, tmp_path):
         r.delete("c")
 
 
+def test_writers_at_once(spark, tmp_path):
+    """Of many that add one id one succeeds; those that add others all do; a compaction beside them loses none."""
+    r = Registry(spark, str(tmp_path / "log"))
+    r.seed()
+
+    def one(k):
+        try:
+            Registry(spark, str(tmp_path / "log")).add(Agent("same" if k % 2 else f"own-{k}", f"h{k}", 1))
+            return "added"
+        except Conflict:
+            return "conflict"
+
+    with concurrent.futures.ThreadPoolExecutor(8) as pool:
+        told = [pool.submit(one, k) for k in range(12)]
+        time.sleep(1)
+        r.compact()
+        told = [t.result() for t in told]
+    assert told[::2] == ["added"] * 6 and sorted(told[1::2]) == ["added"] + ["conflict"] * 5
+    assert {a.id for a in r.agents().collect()} == {"agent-1", "same", *(f"own-{k}" for k in range(0, 12, 2))}
+    assert [n for n in r.files.names(r.path) if n.startswith("_")] == []
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: r.patch("same", **{f: k for f in (("port",) if k % 2 else ("timeout_seconds",))}), (7, 8)))
+    assert (r.get("same").port, r.get("same").timeout_seconds) == (7, 8)  # no change overwrites the other
+    r.rename("same", "other")
+    r.compact(), r.compact()
+    assert r.log().count() == 8 and {x["id"] for x in scrape.registered(str(tmp_path / "log"))} == {a.id for a in r.agents().collect()}
+    r.delete("other", hard=True)
+    assert r.get("other") is None and r.get("same") is None
+
+
+METRIC = "id long, name string, value double, timestamp timestamp, agent_id string, tags map<string,string>"
+
+
+def stored(spark, path):
+    return sorted(r.id for r in store.read_metrics(spark, path).collect())
+
+
 def test_retention(spark, tmp_path):
     rows = [(i, "a", 1.0, datetime.datetime(2024, 1, d, h), "x", {}) for i, (d, h) in enumerate([(1, 0), (2, 0), (2, 12), (3, 0)])]
-    df = spark.createDataFrame(rows, "id long, name string, value double, timestamp timestamp, agent_id string, tags map<string,string>")
     path = str(tmp_path / "m")
-    store.write_metrics(df, path)
-    assert len(delete_before(spark, path, datetime.datetime(2024, 1, 2, 12))) == 1
-    assert sorted(r.id for r in store.read_metrics(spark, path).collect()) == [2, 3]
+    store.write_metrics(spark.createDataFrame(rows, METRIC), path)
+    assert delete_before(spark, path, datetime.datetime(2024, 1, 2, 12)) == ["2024-01-01"]
+    assert stored(spark, path) == [2, 3]
+    assert delete_before(spark, path, datetime.datetime(2024, 1, 2, 12)) == [] and stored(spark, path) == [2, 3]
 
 
-def test_retention_and_compaction_after_a_crash(spark, tmp_path):
-    rows = [(i, "a", 1.0, datetime.datetime(2024, 1, 2, h), "x", {}) for i, h in enumerate((0, 12))]
-    path = str(tmp_path / "m")
-    store.write_metrics(spark.createDataFrame(rows, "id long, name string, value double, timestamp timestamp, agent_id string, tags map<string,string>"), path)
-    (tmp_path / "m/date=2024-01-02").rename(tmp_path / "m/_gone_2024-01-02")
-    delete_before(spark, path, datetime.datetime(2024, 1, 2, 6))
-    assert [r.id for r in store.read_metrics(spark, path).collect()] == [1] and not [p for p in (tmp_path / "m").iterdir() if p.name.startswith(("_gone", "_rewrite"))]
-    r = Registry(spark, str(tmp_path / "log"))
-    r.seed(), r.add(Agent("b", "h", 1)), r.compact()
-    (tmp_path / "log").rename(tmp_path / "log_new")
-    assert {a.id for a in r.agents().collect()} == {"agent-1", "b"}
+def test_retention_beside_appends(spark, tmp_path, monkeypatch):
+    """Rows that arrive between the look at the day's files and their replacement stay, and files without old rows aren't touched."""
+    path, at = str(tmp_path / "m"), lambda h: datetime.datetime(2024, 1, 2, h)
+    for i, h in enumerate((0, 12, 18)):
+        store.write_metrics(spark.createDataFrame([(i, "a", 1.0, at(h), "x", {}), (10 + i, "a", 1.0, at(h + 1), "x", {})], METRIC), path)
+    files = lambda: {p for p in (tmp_path / "m").rglob("*.parquet")}
+    before = files()
+    real = retention._replaced
+
+    def late(*args):
+        store.write_metrics(spark.createDataFrame([(99, "a", 1.0, at(1), "x", {}), (98, "a", 1.0, at(20), "x", {})], METRIC), path)
+        real(*args)
+
+    monkeypatch.setattr(retention, "_replaced", late)
+    delete_before(spark, path, at(1))
+    assert stored(spark, path) == [1, 2, 10, 11, 12, 98, 99]
+    assert len(before & files()) == len(before) - 1
+    monkeypatch.undo()
+    n = retention.compact_day(spark, path, "2024-01-02")
+    assert n > 1 and len(files()) < n and stored(spark, path) == [1, 2, 10, 11, 12, 98, 99]
+
+
+@pytest.mark.parametrize("step", ["plan", "delete", "rename"])
+def test_retention_after_a_crash(spark, tmp_path, monkeypatch, step):
+    path, at = str(tmp_path / "m"), lambda h: datetime.datetime(2024, 1, 2, h)
+    for i, h in enumerate((0, 1)):
+        store.write_metrics(spark.createDataFrame([(i, "a", 1.0, at(h), "x", {}), (10 + i, "a", 1.0, at(h + 12), "x", {})], METRIC), path)
+
+    def broken(*args):
+        raise KeyboardInterrupt
+
+    target = {"plan": "write", "delete": "delete_uri", "rename": "rename"}[step]
+    monkeypatch.setattr(files_module.Files, target, broken)
+    with pytest.raises(KeyboardInterrupt):
+        delete_before(spark, path, at(6))
+    monkeypatch.undo()
+    delete_before(spark, path, at(6))
+    assert stored(spark, path) == [10, 11] and not [p for p in (tmp_path / "m").iterdir() if p.name.startswith("_replace")]
 
 
 def test_due_in_another_zone(spark, tmp_path, monkeypatch):
@@ -70,7 +138,7 @@ def test_due_in_another_zone(spark, tmp_path, monkeypatch):
         s = Service(spark, str(tmp_path))
         s.create(Agent("x", "127.0.0.1", 9))
         now = datetime.datetime.now(datetime.UTC)
-        spark.createDataFrame([("x", now - datetime.timedelta(hours=1), now - datetime.timedelta(hours=1), 1, "success", None)], s.runs().schema).write.parquet(s.runs_path)
+        spark.createDataFrame([("x", now - datetime.timedelta(hours=1), now - datetime.timedelta(hours=1), 1, "success", None, now.date(), "own")], s.runs().schema).write.partitionBy("date", "round").parquet(s.runs_path)
         s.scrape_due()
         assert s.runs().count() == 2
         s.scrape_due(now)
@@ -79,11 +147,136 @@ def test_due_in_another_zone(spark, tmp_path, monkeypatch):
         monkeypatch.undo(), time.tzset()
 
 
-def test_replayed_round_is_stored_once(spark, tmp_path):
-    df = spark.createDataFrame([("A", "up 1 1700000000000")], "agent_id string, body string").selectExpr("agent_id", "timestamp'2024-01-01 00:00:00' as scraped_at", "body", "cast(null as string) as error")
-    for _ in range(2):
-        ingest.store_batch(df, str(tmp_path / "m"), str(tmp_path / "runs"), "7")
-    assert store.read_metrics(spark, str(tmp_path / "m")).count() == 1 == spark.read.parquet(str(tmp_path / "runs")).count()
+def bodies_of(spark, agent, n=2):
+    return spark.createDataFrame([(agent, f"up {k} {1700000000000 + k * 86400000}\nup {k} {1700000000000 + k * 86400000}") for k in range(n)], "agent_id string, body string").selectExpr("agent_id", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,monotonically_increasing_id()) as scraped_at", "body", "cast(null as string) as error")
+
+
+@pytest.mark.parametrize("step", ["metrics", "runs", "rounds"])
+def test_a_round_that_breaks_off_is_stored_once(spark, tmp_path, monkeypatch, step):
+    """Wherever a round stops, its replay leaves each sample and run once; equal lines of a body are samples of their own."""
+    m, r = str(tmp_path / "m"), str(tmp_path / "runs")
+    df = bodies_of(spark, "A")
+    df.write.parquet(str(tmp_path / "bodies"))
+    df = spark.read.parquet(str(tmp_path / "bodies"))
+    ingest.store_batch(df, m, r, "other", 3)
+    calls = []
+
+    def broken(rows, path, *by):
+        calls.append(path)
+        store.replaced(rows, path, *by)
+        if len(calls) == {"metrics": 1, "runs": 2, "rounds": 3}[step]:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(ingest, "replaced", broken), monkeypatch.setattr(ingest, "write_metrics", lambda rows, path, name: broken(rows.withColumn("date", F.to_date("timestamp")).withColumn("round", F.lit(name)), path))
+    with pytest.raises(KeyboardInterrupt):
+        ingest.store_batch(df, m, r, "mine", 0)
+    monkeypatch.undo()
+    figures = ingest.store_batch(df.repartition(3), m, r, "mine", 0)
+    assert (figures["samples"], figures["agents"], figures["failed"]) == (4, 2, 0)
+    got = store.read_metrics(spark, m)
+    assert got.count() == 8 and got.select("id", "round").distinct().count() == 8 and got.select("id").distinct().count() == 4
+    log = spark.read.parquet(r)
+    assert log.count() == 4 and {x.n_samples for x in log.collect()} == {2} and ingest.rounds(spark, r).count() == 2
+
+
+def test_two_streams_and_a_new_checkpoint(spark, tmp_path):
+    """Batches of the same number from two streams, and from one whose checkpoint is new, all arrive."""
+    m, r = str(tmp_path / "m"), str(tmp_path / "runs")
+    schema = bodies_of(spark, "A").schema
+    for agent, cp in (("A", "cp1"), ("B", "cp2")):
+        bodies_of(spark, agent).write.parquet(str(tmp_path / agent))
+        for _ in range(2):  # the second time there is nothing new
+            ingest.start(spark.readStream.schema(schema).parquet(str(tmp_path / agent)), m, r, str(tmp_path / cp), None).awaitTermination()
+    assert {(x.agent_id, x["count"]) for x in store.read_metrics(spark, m).groupBy("agent_id").count().collect()} == {("A", 4), ("B", 4)}
+    ingest.start(spark.readStream.schema(schema).parquet(str(tmp_path / "A")), m, r, str(tmp_path / "cp3"), None).awaitTermination()
+    assert store.read_metrics(spark, m).count() == 12 and spark.read.parquet(r).count() == 6
+
+
+def test_rounds_without_samples(spark, tmp_path):
+    df = spark.createDataFrame([("A", "", "timed out"), ("B", "# nothing\n", None)], "agent_id string, body string, error string").selectExpr("agent_id", "timestamp'2024-01-01 00:00:00' as scraped_at", "body", "error")
+    assert {k: v for k, v in ingest.store_batch(df, str(tmp_path / "m"), str(tmp_path / "r"), "s", 0).items() if k != "ms"} == {"samples": 0, "agents": 2, "failed": 1}
+    assert {(x.agent_id, x.status) for x in spark.read.parquet(str(tmp_path / "r")).collect()} == {("A", "failed: timed out"), ("B", "empty")}
+    assert {k: v for k, v in ingest.store_batch(df.limit(0), str(tmp_path / "m"), str(tmp_path / "r"), "s", 1).items() if k != "ms"} == {"samples": 0, "agents": 0, "failed": 0}
+
+
+@pytest.fixture
+def slow():
+    """A server whose agents under /slow never answer in time."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path == "/slow":
+                time.sleep(4)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"up 1\n")
+
+        def log_message(self, *a):
+            pass
+
+    class Quiet(http.server.ThreadingHTTPServer):
+        request_queue_size = 200
+
+        def handle_error(self, *a):
+            pass
+
+    server = Quiet(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield server.server_address[1]
+    server.shutdown()
+
+
+def test_slow_agents_hold_one_permit_each(spark, slow):
+    """50 agents of which 10 time out after a second: about one timeout with ten permits, whatever their order."""
+    agents = [{"id": str(k), "host": "127.0.0.1", "port": slow, "path": "/slow" if k % 10 in (0, 1) and k < 50 else "/", "timeout_seconds": 1} for k in range(50)]
+    began = time.time()
+    rows = list(scrape.fetched(agents, 10))
+    assert time.time() - began < 2.8 and sum(r[3] is not None for r in rows) == 10 == sum(a["path"] == "/slow" for a in agents) and len(rows) == 50
+    groups = scrape.dealt(agents, 25)
+    assert [g.permits for g in groups] == [9, 8, 8] and sorted(a["id"] for g in groups for a in g.agents) == sorted(a["id"] for a in agents)
+
+
+def test_stream_source_replays_bodies(spark, tmp_path, exposed):
+    """A batch that is planned and read again has the same agents and bodies, until it is committed."""
+    r = Registry(spark, str(tmp_path / "log"))
+    r.add(Agent("a", "127.0.0.1", exposed)), r.add(Agent("b", "127.0.0.1", exposed, path="/x")), r.add(Agent("c", "127.0.0.1", exposed)), r.add(Agent("d", "127.0.0.1", exposed, enabled=False))
+    (tmp_path / "stopped").mkdir()
+    (tmp_path / "stopped" / b"c".hex()).touch()
+    options = {"registry": str(tmp_path / "log"), "kept": str(tmp_path / "kept"), "stopped": str(tmp_path / "stopped")}
+    reader = scrape._StreamReader(options)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    first = [sorted(reader.read(p), key=str) for p in reader.partitions(start, end)]
+    r.add(Agent("late", "127.0.0.1", exposed))
+    assert [sorted(reader.read(p), key=str) for p in scrape._StreamReader(options).partitions(start, end)] == first
+    assert [(x[0], x[3] is None) for x in first[0]] == [("a", True), ("b", False)]
+    time.sleep(0.01)
+    later = reader.latestOffset()
+    reader.commit(end)
+    assert not list((tmp_path / "kept").iterdir())
+    assert [x["id"] for p in reader.partitions(end, later) for x in p.agents] == []  # no interval has passed
+    assert [x["id"] for p in reader.partitions({"at": 0}, {"at": later["at"] + 1}) for x in p.agents] == ["a", "b", "late"]
+    assert scrape.due({"id": "x", "scrape_interval_seconds": 15}, 1_000_000, 1_015_000) and sum(scrape.due({"id": "x", "scrape_interval_seconds": 15}, t, t + 1000) for t in range(1_000_000, 1_060_000, 1000)) == 4
+
+
+def test_worker_state_follows_the_log(spark, tmp_path):
+    """Batches in any cut, one of them given twice, leave what an aggregate over the log says; an agent without runs turns stale."""
+    from tidemark.operators import runs as rq
+    from tidemark.streaming import workers
+
+    rows = [(f"a{k % 3}", f"2024-01-01 00:{k:02d}:00", None if k % 5 == 4 else f"2024-01-01 00:{k:02d}:02", "e" if k % 4 == 3 else None) for k in range(24)] + [("a0", "2024-01-01 00:00:00", "2024-01-01 00:00:02", None)]
+    df = spark.createDataFrame(rows, "agent_id string, s string, f string, error string").selectExpr("agent_id", "cast(s as timestamp) started_at", "cast(f as timestamp) finished_at", "error")
+    path, cp = str(tmp_path / "runs"), str(tmp_path / "cp")
+    for part in (df.limit(10), df.where("agent_id <> 'a1'").limit(7), df.distinct()):
+        part.write.mode("append").parquet(path)
+        workers.start(spark.readStream.schema(df.schema).parquet(path), cp, None).awaitTermination()
+    assert sorted(map(tuple, workers.stats(spark, cp).collect())) == sorted(map(tuple, rq.worker_stats(df.distinct()).select(workers.stats(spark, cp).columns).collect()))
+    told = []
+    query = workers.watched(spark.readStream.schema(df.schema).parquet(path), stale_ms=1).writeStream.foreachBatch(lambda b, _: told.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    until = time.time() + 60
+    while time.time() < until and query.exception() is None and not any(x.stale for x in told):
+        time.sleep(0.5)
+    query.stop()
+    assert {x.agent_id for x in told if x.stale} <= {"a0", "a1", "a2"} and any(x.stale for x in told)
 
 
 @pytest.fixture
@@ -151,7 +344,10 @@ def test_service(spark, tmp_path, exposed):
     assert row["name"] == "own" and s.stats().first().total_agents == 2
     s.delete("ok", hard=True)
     assert not s.agent_metrics("ok", "2024-01-01", "2024-01-02").isEmpty()
-    assert s.cycle(datetime.datetime(2024, 1, 1)).first().agents == 2
+    assert tuple(s.cycle(datetime.datetime(2024, 1, 1)).first())[:2] == (4, 2)
+    assert [w.agent_id for w in s.scraper_status().first().workers] == ["bad", "ok"]
+    own = s.self_metrics().agg(F.sum("samples"), F.sum("agents"), F.sum("failed")).first()
+    assert tuple(own) == (4, 3, 1)
     s.stop("bad")
     s.scrape_due(datetime.datetime.now() + datetime.timedelta(minutes=5))
     assert s.runs().count() == before + 1

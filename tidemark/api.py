@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,23 +15,27 @@ from tidemark.operators import retention, runs
 from tidemark.operators.registry import Agent, Missing, Registry
 from tidemark.schema import METRICS, SCRAPE_RUNS
 from tidemark.sources import scrape, store
-from tidemark.streaming import ingest
+from tidemark.sources.files import Files
+from tidemark.streaming import ingest, workers
 
 
 class Service:
     """Everything under one folder: registry, samples, log of runs, stream checkpoints."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.files = spark, root, Files(spark, root)
         self.registry = Registry(spark, f"{root}/agents_log")
         self.metrics_path, self.runs_path = f"{root}/metrics", f"{root}/scrape_runs"
+        self.stopped_path = f"{root}/stopped"
         self.query: StreamingQuery | None = None
-        self.stopped: set[str] = set()
+        self.watch: StreamingQuery | None = None
 
     def _table(self, path: str, schema) -> DataFrame:  # noqa: ANN001
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path) if self.files.exists(path) else self.spark.createDataFrame([], schema)
+
+    def stopped(self) -> set[str]:
+        """Agents that rounds leave out, kept as files by the id's hexadecimal name: they outlive this process."""
+        return {bytes.fromhex(n).decode() for n in self.files.names(self.stopped_path)}
 
     def metrics(self) -> DataFrame:
         return self._table(self.metrics_path, METRICS)
@@ -71,46 +76,54 @@ class Service:
     # Scrapers
 
     def scraper_stats(self) -> DataFrame:
-        return runs.worker_stats(self.runs())
+        """Per agent: runs, successes, failures and the last run. While rounds go on, from the state that follows the log; else from the log itself."""
+        return workers.stats(self.spark, f"{self.root}/workers") if self.watch is not None and self.watch.lastProgress else runs.worker_stats(self.runs())
 
     def scraper_status(self) -> DataFrame:
-        """One row: workers with an error, workers, agents that have one."""
-        return runs.error_summary(self.scraper_stats()).withColumn("total_agents", F.col("active_workers"))
+        """One row: workers with an error, workers, agents that have one, and the workers themselves."""
+        stats = self.scraper_stats()
+        listed = stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("workers"))  # as many as there are agents
+        return runs.error_summary(stats).withColumn("total_agents", F.col("active_workers")).crossJoin(listed)
 
     def scraper_errors(self) -> DataFrame:
         return runs.errors(self.scraper_stats())
 
-    def scrape_now(self, agent_id: str | None = None) -> None:
+    def scrape_now(self, agent_id: str | None = None) -> dict[str, int]:
         """One round over all enabled agents, or over one."""
         targets = self.registry.agents()
         if agent_id is not None:
             targets = targets.where(F.col("id") == self.agent(agent_id).id)
-        ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
+        return ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
 
-    def scrape_due(self, now: datetime.datetime | None = None, round_id: str | None = None) -> None:
-        """One round over the agents whose own interval has passed, but those that are stopped. The registry is read anew, so new agents join and disabled ones leave."""
+    def scrape_due(self, now: datetime.datetime | None = None) -> dict[str, int]:
+        """One round over the agents whose own interval has passed since their last run, but those that are stopped."""
         at = retention.utc_text(now or datetime.datetime.now(datetime.UTC))
         due = runs.due(self.registry.agents(), self.scraper_stats(), at).withColumnRenamed("agent_id", "id")
-        targets = self.registry.agents().join(due, "id", "left_semi").where(~F.col("id").isin(*self.stopped))
-        ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path, round_id)
+        targets = self.registry.agents().join(due, "id", "left_semi").where(~F.col("id").isin(*self.stopped()))
+        return ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
 
     def start(self, every: str = "30 seconds") -> StreamingQuery:
-        """A round of scrape_due() each trigger until stop(): executors fetch, MAX_CONCURRENT at once."""
-        self.query = ingest.each_round(scrape.rounds(self.spark), lambda _, k: self.scrape_due(round_id=str(k)), f"{self.root}/checkpoint", every)
+        """Rounds over due agents until stop(), and the statistics that follow them. Each round reads the registry anew, so new agents join and disabled ones leave; executors fetch, MAX_CONCURRENT at once."""
+        bodies = scrape.rounds(self.spark, self.registry.path, f"{self.root}/bodies", self.stopped_path)
+        self.query = ingest.start(bodies, self.metrics_path, self.runs_path, f"{self.root}/checkpoint", every)
+        self.files.fs.mkdirs(self.files.path(self.runs_path))
+        self.watch = workers.start(self.spark.readStream.schema(SCRAPE_RUNS).parquet(self.runs_path), f"{self.root}/workers", every)
         return self.query
 
     def stop(self, agent_id: str | None = None) -> None:
         """Stop all rounds, or leave out one agent from the next on."""
         if agent_id is not None:
-            self.stopped.add(self.agent(agent_id).id)
-        elif self.query is not None:
-            self.query.stop()
-            self.query = None
+            self.files.create(f"{self.stopped_path}/{self.agent(agent_id).id.encode().hex()}", "")
+            return
+        for query in (self.query, self.watch):
+            if query is not None:
+                query.stop()
+        self.query = self.watch = None
 
     def restart(self, agent_id: str | None = None, every: str = "30 seconds") -> StreamingQuery | None:
         """Restart all rounds, or scrape one agent now and take it into the rounds again."""
         if agent_id is not None:
-            self.stopped.discard(agent_id)
+            self.files.delete(f"{self.stopped_path}/{agent_id.encode().hex()}")
             self.scrape_now(agent_id)
             return self.query
         self.stop()
@@ -120,12 +133,17 @@ class Service:
         """Samples, agents and milliseconds of the runs since a time."""
         return runs.cycle_summary(self.runs().where(F.col("started_at") >= F.lit(retention.utc_text(since)).cast("timestamp")))
 
+    def self_metrics(self) -> DataFrame:
+        """Figures of the engine's own rounds: samples, agents, failures, time taken."""
+        return ingest.rounds(self.spark, self.runs_path)
+
     # Samples
 
     def save_metric(self, name: str, value: float, agent_id: str, tags: dict[str, str] | None = None, at: datetime.datetime | None = None) -> None:
         """One sample, with its tags."""
-        row = self.spark.createDataFrame([(name, float(value), at or datetime.datetime.now(), agent_id, {**(tags or {}), "agent_id": agent_id})], "name string, value double, timestamp timestamp, agent_id string, tags map<string,string>")
-        store.write_metrics(row.select(F.xxhash64("name", "value", "timestamp", "agent_id", F.uuid()).alias("id"), "name", "value", "timestamp", "agent_id", "tags"), self.metrics_path)
+        ident = uuid.uuid4().int >> 65
+        row = self.spark.createDataFrame([(ident, name, float(value), at or datetime.datetime.now(), agent_id, {**(tags or {}), "agent_id": agent_id})], "id long, name string, value double, timestamp timestamp, agent_id string, tags map<string,string>")
+        store.write_metrics(row, self.metrics_path)
 
     def agent_metrics(self, agent_id: str, start: str, end: str) -> DataFrame:
         """Samples of an agent, of one deleted meanwhile too."""
@@ -133,3 +151,7 @@ class Service:
 
     def delete_before(self, threshold: datetime.datetime) -> list[str]:
         return retention.delete_before(self.spark, self.metrics_path, threshold)
+
+    def compact_day(self, day: str) -> int:
+        """The files of one day's rounds as few."""
+        return retention.compact_day(self.spark, self.metrics_path, day)

@@ -1,48 +1,85 @@
-"""Retention: samples before a threshold are deleted from a date-partitioned store."""
+"""Retention and compaction of a store of samples (folders date=../round=..): single files are replaced, and what arrives meanwhile stays.
+
+A replacement is prepared in a hidden folder and becomes due with its plan, which names the old files and the place of the new ones. A call after one
+that broke off finishes replacements that have a plan and forgets the others. One maintenance job at a time; any number of writers and readers beside it."""
 
 from __future__ import annotations
 
 import datetime
+import json
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.schema import METRICS
+from tidemark.sources.files import Files
+
 
 def utc_text(at: datetime.datetime) -> str:
     """A time as text in UTC, which sessions here cast text in. One without a zone is local time, as createDataFrame takes it."""
     return at.astimezone(datetime.UTC).replace(tzinfo=None).isoformat(sep=" ")
 
 
-def _recovered(fs, fs_path, path: str) -> None:  # noqa: ANN001
-    """Finish or undo what a run that broke off has left: a day's old rows aside (_gone_), its new ones not yet in place (_rewrite_)."""
-    there = [s.getPath().getName() for s in fs.listStatus(fs_path(path))]
-    for name in there:
-        if name.startswith("_gone_"):
-            day = name.removeprefix("_gone_")
-            if f"date={day}" not in there:
-                source = f"_rewrite_{day}" if f"_rewrite_{day}" in there else name
-                fs.rename(fs_path(f"{path}/{source}"), fs_path(f"{path}/date={day}"))
-            fs.delete(fs_path(f"{path}/{name}"), True)
+def recovered(spark: SparkSession, path: str) -> None:
+    """Finish or forget replacements that broke off."""
+    files = Files(spark, path)
+    for name in files.names(path):
+        if name.startswith("_replace_"):
+            if files.exists(f"{path}/{name}/plan.json"):
+                _finished(files, path, name)
+            else:
+                files.delete(f"{path}/{name}")
+
+
+def _finished(files: Files, path: str, name: str) -> None:
+    plan = json.loads(files.read(f"{path}/{name}/plan.json"))
+    for old in plan["old"]:
+        files.delete_uri(old)
+    if files.exists(f"{path}/{name}/data"):
+        files.rename(f"{path}/{name}/data", f"{path}/{plan['place']}")
+    files.delete(f"{path}/{name}")
+
+
+def _day(spark: SparkSession, path: str, day: str) -> DataFrame:
+    return spark.read.schema(METRICS).option("basePath", path).parquet(f"{path}/date={day}")
+
+
+def _replaced(spark: SparkSession, path: str, day: str, old: list[str], keep: Column | None, kind: str) -> None:
+    """Files of a day replaced by the rows of them that keep leaves, in a round of their own."""
+    files, name = Files(spark, path), f"_replace_{uuid.uuid4().hex}"
+    rows = spark.read.schema(METRICS).option("basePath", path).parquet(*old)
+    rows = rows if keep is None else rows.where(keep)
+    rows.drop("date", "round").hint("rebalance").sortWithinPartitions("name", "timestamp").write.parquet(f"{path}/{name}/data")
+    files.write(f"{path}/{name}/plan.json", json.dumps({"old": old, "place": f"date={day}/round={kind}-{uuid.uuid4().hex}"}))
+    _finished(files, path, name)
+
+
+def _days(files: Files, path: str) -> list[str]:
+    return [n.removeprefix("date=") for n in files.names(path) if n.startswith("date=")]
 
 
 def delete_before(spark: SparkSession, path: str, threshold: datetime.datetime) -> list[str]:
-    """Drop the folders of days before the threshold's and rewrite that day alone. Returns the dropped days. Only folder names are listed, no row before that day is read.
-    The new rows of the threshold's day are whole before the old ones are set aside; a call after one that broke off recovers that day first."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    _recovered(fs, fs_path, path)
-    at = utc_text(threshold)
-    days = sorted(s.getPath().getName().removeprefix("date=") for s in fs.listStatus(fs_path(path)) if s.getPath().getName().startswith("date="))
-    cut = at[:10]
+    """Drop samples before a threshold: the folders of earlier days go, and of the threshold's day those files alone are rewritten that hold an earlier
+    sample. Returns the dropped days. No row before that day is read."""
+    recovered(spark, path)
+    files, at = Files(spark, path), utc_text(threshold)
+    days, cut = _days(files, path), at[:10]
     gone = [d for d in days if d < cut]
     for d in gone:
-        fs.delete(fs_path(f"{path}/date={d}"), True)
+        files.delete(f"{path}/date={d}")
     if cut in days:
-        rows = spark.read.parquet(f"{path}/date={cut}")
-        kind = rows.schema["timestamp"].dataType.simpleString()
-        aside = f"{path}/_rewrite_{cut}"
-        rows.where(F.col("timestamp") >= F.lit(at).cast(kind)).write.mode("overwrite").parquet(aside)
-        fs.rename(fs_path(f"{path}/date={cut}"), fs_path(f"{path}/_gone_{cut}"))
-        fs.rename(fs_path(aside), fs_path(f"{path}/date={cut}"))
-        fs.delete(fs_path(f"{path}/_gone_{cut}"), True)
+        limit = F.lit(at).cast("timestamp")
+        old = [r["f"] for r in _day(spark, path, cut).where(F.col("timestamp") < limit).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]  # of one day
+        if old:
+            _replaced(spark, path, cut, old, F.col("timestamp") >= limit, "kept")
     return gone
+
+
+def compact_day(spark: SparkSession, path: str, day: str) -> int:
+    """The files of a day as few sorted ones, for rounds make at least one file each. Returns how many were replaced."""
+    recovered(spark, path)
+    old = [r["f"] for r in _day(spark, path, day).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
+    if len(old) > 1:
+        _replaced(spark, path, day, old, None, "compact")
+    return len(old)

@@ -23,12 +23,16 @@ def session(app: str = "tidemark", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Folders made by this process, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder in the one that driver and executors share (spark.checkpoint.dir). One of our own is made only where none is named and the master is local (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    app, named = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("name a shared folder in spark.checkpoint.dir")
-        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+        named = _OWN.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        _OWN[app] = named
+    return f"{named.rstrip('/')}/tidemark-{app}"

@@ -15,12 +15,12 @@ _ENTRY = r'(?:^|,)([^,=]*)="*([^,=]*?)"*(?=,|\z)'
 
 
 def parse(bodies: DataFrame) -> DataFrame:
-    """bodies: agent_id, body (other columns are kept). Returns these without body, and name, value, timestamp (null if the line has none), tags."""
-    others = [c for c in bodies.columns if c not in ("body", "name", "value", "timestamp", "tags")]
+    """bodies: agent_id, body (other columns are kept). Returns these without body, and line (its place in the body, from 0), name, value, timestamp (null if the line has none), tags."""
+    others = [c for c in bodies.columns if c not in ("body", "line", "name", "value", "timestamp", "tags")]
     # lines are cut inside the generator, so that the filters below read their parts and don't cut them again; a blank line has no value
     lines = F.transform(F.split("body", "\r\n|\n|\r"), lambda x: F.split(x, " ", -1))
-    rows = bodies.select(*others, F.explode(lines).alias("parts")).where(F.size("parts") >= 2)
-    rows = rows.select(*others, F.get("parts", F.lit(0)).alias("head"), F.get("parts", F.lit(1)).alias("value_text"), F.get("parts", F.lit(2)).alias("time_text"))
+    rows = bodies.select(*others, F.posexplode(lines).alias("line", "parts")).where(F.size("parts") >= 2)
+    rows = rows.select(*others, "line", F.get("parts", F.lit(0)).alias("head"), F.get("parts", F.lit(1)).alias("value_text"), F.get("parts", F.lit(2)).alias("time_text"))
     rows = rows.where(~F.startswith(F.col("head"), F.lit("#")))
     # the words for infinity and not-a-number count only as Java spells them
     word = F.lower("value_text").rlike("^[+-]?(inf|infinity|nan)[df]?$") & ~F.col("value_text").rlike("^[+-]?(Infinity|NaN)$")
@@ -32,4 +32,4 @@ def parse(bodies: DataFrame) -> DataFrame:
     keys, values = (F.regexp_extract_all(inner, F.lit(_ENTRY), F.lit(k)) for k in (1, 2))
     tags = F.map_from_arrays(F.concat(keys, F.array(F.lit("agent_id"))), F.concat(values, F.array("agent_id")))
     name = F.when(opened > 0, F.substring(F.col("head"), F.lit(1), opened - 1)).otherwise(F.col("head"))
-    return rows.select(*others, name.alias("name"), F.col("value_text").cast("double").alias("value"), F.timestamp_millis(millis).alias("timestamp"), tags.alias("tags"))
+    return rows.select(*others, "line", name.alias("name"), F.col("value_text").cast("double").alias("value"), F.timestamp_millis(millis).alias("timestamp"), tags.alias("tags"))

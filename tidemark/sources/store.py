@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.tags import tag_hash
+from tidemark.schema import METRICS
 from tidemark.session import shared_dir
 
 
-def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """Append samples, a folder per day; within a file by name and time, so that row groups can be skipped. A large day is split over as many tasks as its size asks for."""
-    rows = metrics.withColumn("date", F.to_date("timestamp"))
-    rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", "name", "timestamp").write.mode(mode).partitionBy("date").parquet(path)
+def write_metrics(metrics: DataFrame, path: str, round_id: str | None = None) -> None:
+    """Add samples, a folder per day and round; within a file by name and time, so that row groups can be skipped. A large day is split over as many tasks as its
+    size asks for. Rows of a round_id replace what was stored of that round on the same days, so a round can be written again; without one they are a round of their own."""
+    rows = metrics if "scraped_at" in metrics.columns else metrics.withColumn("scraped_at", F.lit(None).cast("timestamp"))
+    rows = rows.withColumn("date", F.to_date("timestamp")).withColumn("round", F.lit(round_id or f"own-{uuid.uuid4().hex}"))
+    replaced(rows.hint("rebalance", F.col("date")).sortWithinPartitions("date", "name", "timestamp"), path)
+
+
+def replaced(rows: DataFrame, path: str, *by: str) -> None:
+    """Rows into folders by date and round (or by others), each of which they replace whole. Jobs that write to one table at a time don't disturb each other."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(by or ("date", "round"))).parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(METRICS).parquet(path)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
