@@ -18,7 +18,8 @@ from tidemark.functions.buckets import time_bucket
 ROW = ("id", "name", "value", "timestamp", "agent_id")
 
 
-def _between(metrics: DataFrame, start: str, end: str) -> Column:
+def between(metrics: DataFrame, start: str, end: str) -> Column:
+    """A range of time with both ends, and of days where the table has them."""
     kind = metrics.schema["timestamp"].dataType.simpleString()
     out = F.col("timestamp").between(F.lit(start).cast(kind), F.lit(end).cast(kind))
     if "date" in metrics.columns:
@@ -39,16 +40,16 @@ def by_agent(metrics: DataFrame, agent_id: str) -> DataFrame:
 
 
 def by_agent_range(metrics: DataFrame, agent_id: str, start: str, end: str) -> DataFrame:
-    return _row(metrics.where((F.col("agent_id") == agent_id) & _between(metrics, start, end))).orderBy(F.desc("timestamp"))
+    return _row(metrics.where((F.col("agent_id") == agent_id) & between(metrics, start, end))).orderBy(F.desc("timestamp"))
 
 
 def by_name_range(metrics: DataFrame, name: str, start: str, end: str) -> DataFrame:
-    return _row(metrics.where((F.col("name") == name) & _between(metrics, start, end))).orderBy(F.desc("timestamp"))
+    return _row(metrics.where((F.col("name") == name) & between(metrics, start, end))).orderBy(F.desc("timestamp"))
 
 
 def by_agents(metrics: DataFrame, agent_ids: Iterable[str] | DataFrame, start: str, end: str) -> DataFrame:
     """agent_ids: a small collection, or a DataFrame (agent_id) for large ones. None of them: no rows."""
-    rows = metrics.where(_between(metrics, start, end))
+    rows = metrics.where(between(metrics, start, end))
     if isinstance(agent_ids, DataFrame):
         rows = rows.join(agent_ids.select("agent_id"), "agent_id", "left_semi")
     else:
@@ -61,7 +62,7 @@ def by_name_and_tags(metrics: DataFrame, name: str, tags: dict[str, str], start:
     """Samples of a name with all of tags."""
     rule = functools.reduce(operator.and_, (_has_tag(k, v) for k, v in tags.items()), F.col("name") == name)
     if start is not None and end is not None:
-        rule = rule & _between(metrics, start, end)
+        rule = rule & between(metrics, start, end)
     return _row(metrics.where(rule))
 
 
@@ -70,7 +71,7 @@ def by_name_and_tag(metrics: DataFrame, name: str, key: str, value: str, start:
 
 
 def by_tag_key(metrics: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    return _row(metrics.where(F.map_contains_key("tags", key) & _between(metrics, start, end)))
+    return _row(metrics.where(F.map_contains_key("tags", key) & between(metrics, start, end)))
 
 
 def _linked(links: DataFrame, dictionary: DataFrame, rule: Column) -> DataFrame:
@@ -81,14 +82,14 @@ def _linked(links: DataFrame, dictionary: DataFrame, rule: Column) -> DataFrame:
 def by_name_and_tags_join(metrics: DataFrame, links: DataFrame, dictionary: DataFrame, name: str, tags: dict[str, str], start: str | None = None, end: str | None = None) -> DataFrame:
     rows = metrics.where(F.col("name") == name)
     if start is not None and end is not None:
-        rows = rows.where(_between(metrics, start, end))
+        rows = rows.where(between(metrics, start, end))
     for k, v in tags.items():
         rows = rows.join(_linked(links, dictionary, (F.col("tag_key") == k) & (F.col("tag_value") == v)), "id", "left_semi")
     return _row(rows)
 
 
 def by_tag_key_join(metrics: DataFrame, links: DataFrame, dictionary: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    return _row(metrics.where(_between(metrics, start, end)).join(_linked(links, dictionary, F.col("tag_key") == key), "id", "left_semi"))
+    return _row(metrics.where(between(metrics, start, end)).join(_linked(links, dictionary, F.col("tag_key") == key), "id", "left_semi"))
 
 
 def last_of_agent(metrics: DataFrame, agent_id: str) -> DataFrame:
@@ -104,7 +105,7 @@ def last_of_all_agents(metrics: DataFrame) -> DataFrame:
 
 def time_aggregation(metrics: DataFrame, name: str, start: str, end: str, width: str = "1 minute") -> DataFrame:
     """avg, max, min and count of a metric per time bucket, latest first; buckets without samples are absent."""
-    rows = metrics.where((F.col("name") == name) & _between(metrics, start, end))
+    rows = metrics.where((F.col("name") == name) & between(metrics, start, end))
     return bucketed(rows, width).orderBy(F.desc("bucket"))
 
 
@@ -115,19 +116,19 @@ def bucketed(rows: DataFrame, width: str) -> DataFrame:
 
 def aggregate_by_tag(metrics: DataFrame, name: str, key: str, start: str, end: str) -> DataFrame:
     """avg and count per value of a tag; samples without it don't count."""
-    rows = metrics.where((F.col("name") == name) & _between(metrics, start, end) & F.map_contains_key("tags", key))
+    rows = metrics.where((F.col("name") == name) & between(metrics, start, end) & F.map_contains_key("tags", key))
     return rows.groupBy(F.col("tags").getItem(key).alias("tag_value")).agg(F.avg("value").alias("avg_value"), F.count("*").alias("sample_count"))
 
 
 def agent_window_stats(metrics: DataFrame, agent_id: str, start: str, end: str) -> DataFrame:
     """count, avg, first and last time of an agent's samples; always one row."""
-    rows = metrics.where((F.col("agent_id") == agent_id) & _between(metrics, start, end))
+    rows = metrics.where((F.col("agent_id") == agent_id) & between(metrics, start, end))
     return rows.agg(F.count("*").alias("sample_count"), F.avg("value").alias("avg_value"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
 
 
 def tag_value_distribution(metrics: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """How many samples have each value of a tag."""
-    rows = metrics.where(_between(metrics, start, end) & F.map_contains_key("tags", key))
+    rows = metrics.where(between(metrics, start, end) & F.map_contains_key("tags", key))
     return rows.groupBy(F.col("tags").getItem(key).alias("tag_value")).agg(F.count("*").alias("link_count"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
 from tidemark.sources import store
+from tidemark.sources.files import Files
+from tidemark.sources.series import SeriesStore
 
 
 def metrics_of(events: DataFrame) -> DataFrame:
@@ -22,27 +24,33 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-#: Views stored by this process: of application, folder and name, the path.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Views stored by this process: of application, name and the source's state, the path.
+_STORED: dict[tuple, str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
-    """A normalised view, written to the shared folder when first asked for, as an engine that keeps dictionary and links as tables has them."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[str], object]) -> str:
+    """The path of a view of events, written to the shared folder when first asked for, as an engine that keeps dictionary and links as tables has them. It holds as long
+    as the source's files are the same: names, sizes and times are looked at each time."""
+    key = (spark.sparkContext.applicationId, name, Files(spark, sf_dir).state(f"{sf_dir}/events.parquet"))
     if key not in _STORED:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        made().write.parquet(path)
+        made(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
 
 
 def tags_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "tags_dict", lambda: store.tags_dict(metrics(spark, sf_dir)))
+    return spark.read.parquet(_stored(spark, sf_dir, "tags_dict", lambda path: store.tags_dict(metrics(spark, sf_dir)).write.parquet(path)))
 
 
 def metric_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, in order of their entry, so that those of one lie in few row groups."""
-    return _stored(spark, sf_dir, "metric_tags", lambda: store.metric_tags(metrics(spark, sf_dir), tags_dict(spark, sf_dir)).orderBy("tag_dict_id", "metric_id"))
+    return spark.read.parquet(_stored(spark, sf_dir, "metric_tags", lambda path: store.metric_tags(metrics(spark, sf_dir), tags_dict(spark, sf_dir)).orderBy("tag_dict_id", "metric_id").write.parquet(path)))
+
+
+def series(spark: SparkSession, sf_dir: str) -> SeriesStore:
+    """The series store of events."""
+    return SeriesStore(spark, _stored(spark, sf_dir, "series", lambda path: SeriesStore(spark, path, 16).add(metrics(spark, sf_dir))), 16)
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,11 @@ from tidemark.operators import agents as ag
 from tidemark.operators import metrics as mq
 from tidemark.operators import runs as rq
 from tidemark.operators import tags as tq
-from tidemark.plans.fixtures import agents, metric_tags, metrics, metrics_of, runs, tags_dict
+from tidemark.operators.paging import By, walked
+from tidemark.plans.fixtures import agents, metric_tags, metrics, metrics_of, runs, series, tags_dict
+from tidemark.session import shared_dir
 from tidemark.sources import exposition, store
+from tidemark.sources.dictionary import Dictionary
 from tidemark.streaming import ingest
 
 START, END = "2024-01-08 00:00:00", "2024-01-15 00:00:00"
@@ -172,6 +175,21 @@ def metrics_by_tag_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.by_tag_key_join(metrics(spark, sf_dir), metric_tags(spark, sf_dir), tags_dict(spark, sf_dir), "k", START, END)
 
 
+@_query(_TAG)
+def metrics_by_name_tag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).by_name_and_tags("error", {"k": "9"}, START, END)
+
+
+@_query(_TWO)
+def metrics_by_two_tags_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).by_name_and_tags("error", {"k": "64", "agent_id": "17"})
+
+
+@_query(_KEY)
+def metrics_by_tag_key_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).by_tag_key("k", START, END)
+
+
 @_query(f'SELECT {_ROW} FROM metrics WHERE agent_id = \'5\' ORDER BY "timestamp" DESC, id DESC LIMIT 1')
 def last_metric_by_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.last_of_agent(metrics(spark, sf_dir), "5")
@@ -182,11 +200,25 @@ def last_metric_all_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.last_of_all_agents(metrics(spark, sf_dir))
 
 
-@_query(f"SELECT k AS tag_value, round(avg(value), 6) AS avg_value, count(*) AS sample_count FROM metrics WHERE name = 'error' AND {_RANGE} GROUP BY k")
+_BY_TAG = f"SELECT k AS tag_value, round(avg(value), 6) AS avg_value, count(*) AS sample_count FROM metrics WHERE name = 'error' AND {_RANGE} GROUP BY k"
+_VALUES = f"SELECT tag_value, count(*) AS link_count FROM pairs JOIN metrics ON id = metric_id WHERE tag_key = 'agent_id' AND {_RANGE} GROUP BY tag_value"
+
+
+@_query(_BY_TAG)
 def aggregate_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.aggregate_by_tag(metrics(spark, sf_dir), "error", "k", START, END).withColumn("avg_value", F.round("avg_value", 6))
 
 
+@_query(_BY_TAG)
+def aggregate_by_tag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).aggregate_by_tag("error", "k", START, END).withColumn("avg_value", F.round("avg_value", 6))
+
+
+@_query(_VALUES)
+def tag_value_distribution_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).tag_value_distribution("agent_id", START, END)
+
+
 @_query(f'SELECT count(*) AS sample_count, round(avg(value), 6) AS avg_value, min("timestamp") AS first_at, max("timestamp") AS last_at FROM metrics WHERE agent_id = \'5\' AND {_RANGE}')
 def agent_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.agent_window_stats(metrics(spark, sf_dir), "5", START, END).withColumn("avg_value", F.round("avg_value", 6))
@@ -197,7 +229,7 @@ def agent_window_stats_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.agent_window_stats(metrics(spark, sf_dir), "none", START, END)
 
 
-@_query(f"SELECT tag_value, count(*) AS link_count FROM pairs JOIN metrics ON id = metric_id WHERE tag_key = 'agent_id' AND {_RANGE} GROUP BY tag_value")
+@_query(_VALUES)
 def tag_value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mq.tag_value_distribution(metrics(spark, sf_dir), "agent_id", START, END)
 
@@ -258,7 +290,19 @@ def tag_links_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT tag_key, tag_value, CASE WHEN h >= 2147483648 THEN '-' || lower(to_hex(4294967296 - h)) ELSE lower(to_hex(h)) END AS hash FROM (
     SELECT tag_key, tag_value, list_reduce(list_transform(list_prepend(NULL, string_split(tag_key || '=' || tag_value, '')), lambda c: coalesce(CAST(unicode(c) AS BIGINT), 0)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM tags_dict)""")
 def tag_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tags_dict(spark, sf_dir).select("tag_key", "tag_value", "hash")
+    pairs = store.metric_tag_pairs(metrics(spark, sf_dir)).select("tag_key", "tag_value").distinct()
+    return pairs.withColumn("hash", tag_hash(F.col("tag_key"), F.col("tag_value")))
+
+
+@_query("SELECT tag_key, tag_value FROM tags_dict")
+def tags_dictionary_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of all samples, filled by three batches of them; an id that two pairs share would take both away."""
+    dictionary = Dictionary(spark, f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex}", 16)
+    pairs = store.metric_tag_pairs(metrics(spark, sf_dir))
+    for rule in ("metric_id % 3 = 0", "metric_id % 3 = 1", "true"):
+        dictionary.add(pairs.where(rule).select("tag_key", "tag_value"))
+    own = dictionary.rows().groupBy("id").agg(F.count("*").alias("n"), F.any_value("tag_key").alias("tag_key"), F.any_value("tag_value").alias("tag_value"))
+    return own.where("n = 1").select("tag_key", "tag_value")
 
 
 @_query("SELECT 'agent_id' AS tag_key, CAST(c_custkey AS VARCHAR) AS tag_value FROM customer WHERE NOT EXISTS (SELECT 1 FROM tags_dict WHERE tag_key = 'agent_id' AND tag_value = CAST(c_custkey AS VARCHAR))")
@@ -290,6 +334,7 @@ _agents_query("scrapable_agents", ag.scrapable, "WHERE enabled AND scrape_interv
 _agents_query("agents_by_host", lambda a: ag.by_host(a, "auto%-1"), "WHERE host LIKE '%auto%-1%'")
 _agents_query("agents_host_ci", lambda a: ag.find(a, True, "BUILD", 15), "WHERE enabled AND contains(lower(host), 'build') AND scrape_interval_seconds >= 15")
 _agents_query("stale_agents", lambda a: ag.stale(a, "2024-01-29 00:00:00"), "WHERE enabled AND (last_scrape_at IS NULL OR last_scrape_at < TIMESTAMP '2024-01-29 00:00:00')")
+_agents_query("agents_page_seek", lambda a: walked(a, [By("last_scrape_at", descending=True, nulls_first=True), By("id")], 10, 2), "ORDER BY last_scrape_at DESC NULLS FIRST, id LIMIT 10 OFFSET 20")
 _agents_query("agents_page", lambda a: ag.page(a, 2, 10, F.desc_nulls_first("last_scrape_at")), "ORDER BY last_scrape_at DESC NULLS FIRST, id LIMIT 10 OFFSET 20")
 
 
@@ -298,6 +343,11 @@ def metrics_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.page(metrics(spark, sf_dir), 2, 25, F.desc("value")).select("id", "name", "value", "timestamp", "agent_id")
 
 
+@_query(f'SELECT {_ROW} FROM metrics ORDER BY value DESC, id LIMIT 25 OFFSET 50')
+def metrics_page_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walked(metrics(spark, sf_dir).select(*mq.ROW), [By("value", descending=True), By("id")], 25, 2)
+
+
 @_query(f"SELECT {_HASHED} FROM tags_dict ORDER BY tag_value DESC NULLS LAST, id LIMIT 20 OFFSET 20")
 def tags_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.page(tags_dict(spark, sf_dir), 1, 20, F.desc_nulls_last("tag_value")).select("id", "tag_key", "tag_value")

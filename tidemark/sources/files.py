@@ -30,6 +30,14 @@ class Files:
         """Paths that fit a pattern."""
         return sorted(str(s.getPath()) for s in self.fs.globStatus(self.path(pattern)) or ())
 
+    def state(self, path: str) -> tuple[tuple[str, int, int], ...]:
+        """Name, size and time of every file below a path."""
+        found, out = self.fs.listFiles(self.path(path), True), []
+        while found.hasNext():
+            f = found.next()
+            out.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(out))
+
     def delete(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
