@@ -364,3 +364,39 @@ def test_service(spark, tmp_path, exposed):
     s.stop()
     assert not s.runs().where("agent_id = 'later'").isEmpty()
     assert query.exception() is None and not query.isActive and s.runs().where("agent_id = 'bad'").count() > 1
+
+
+@pytest.mark.parametrize("width", ["1 month", "1 year", "7 days"])
+def test_closed_buckets_are_appended_once(spark, tmp_path, width):
+    """A stream in several batches, some of it out of order: buckets that the watermark has passed equal the batch's, and each comes once."""
+    from tidemark.operators.metrics import bucketed
+    from tidemark.streaming import calendar
+
+    at = lambda d: datetime.datetime(2023, 11, 1) + datetime.timedelta(days=d)
+    rows = [(float(i % 17) if i % 11 else None, at(i * 0.7)) for i in range(600)] + [(float("nan"), at(3))]
+    df = spark.createDataFrame(rows, "value double, timestamp timestamp")
+    for k, part in enumerate((rows[100::-1] + rows[-1:], rows[101:400], rows[400:600], [(0.0, at(3000))], [(0.0, at(3001))])):
+        spark.createDataFrame(part, "value double, timestamp timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = calendar.closed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), width, "2 days")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want = {r.bucket.isoformat(): r for r in bucketed(df, width).withColumn("bucket", F.col("bucket").cast("timestamp")).collect()}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len({r.bucket for r in got}) == len(got) and {r.bucket.isoformat() for r in got} == set(want)
+    for r in got:
+        w = want[r.bucket.isoformat()]
+        assert repr(r.max_value) == repr(w.max_value) and (r.min_value, r.sample_count) == (w.min_value, w.sample_count) and (repr(r.avg_value) == repr(w.avg_value) or abs(r.avg_value - w.avg_value) < 1e-9)
+
+
+def test_appended_windows_and_streams_of_months(spark, tmp_path):
+    from tidemark.operators.metrics import bucketed
+
+    rows = [(float(i), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "value double, timestamp timestamp")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    months = ingest.drained(spark, ingest.aggregated(stream, "1 month"), "months_test")
+    assert sorted(map(tuple, months.collect())) == sorted(map(tuple, bucketed(df, "1 month").collect()))
+    query = ingest.aggregated(stream, "7 days", watermark="1 day").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got, want = (sorted(map(tuple, d.collect())) for d in (spark.read.parquet(str(tmp_path / "out")), bucketed(df, "7 days")))
+    assert 0 < len(got) < len(want) and got == want[: len(got)]

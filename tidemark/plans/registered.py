@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from tidemark.functions.buckets import time_bucket
 from tidemark.functions.tags import tag_hash
 from tidemark.operators import agents as ag
 from tidemark.operators import metrics as mq
+from tidemark.operators import retention
 from tidemark.operators import runs as rq
 from tidemark.operators import tags as tq
 from tidemark.operators.paging import By, walked
@@ -19,10 +21,10 @@ from tidemark.plans.fixtures import agents, metric_tags, metrics, metrics_of, ru
 from tidemark.session import shared_dir
 from tidemark.sources import exposition, store
 from tidemark.sources.dictionary import Dictionary
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, workers
 
 START, END = "2024-01-08 00:00:00", "2024-01-15 00:00:00"
-NOW = "2024-01-30 23:00:00"
+NOW, MIDDAY = "2024-01-30 23:00:00", "2024-01-15 12:00:00"
 PAIRS = [("k", "9"), ("k", "64"), ("agent_id", "5"), ("agent_id", "none")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,14 +419,74 @@ def scrape_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rq.with_latest_status(agents(spark, sf_dir), runs(spark, sf_dir)).select("id", "last_scrape_status", "last_scrape_at")
 
 
+@_query("SELECT CAST(count(*) FILTER (NOT failed) AS BIGINT) AS samples, count(DISTINCT agent_id) AS agents, CAST(date_diff('millisecond', min(started_at), max(started_at + to_milliseconds(ms))) AS BIGINT) AS ms FROM runs")
+def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rq.cycle_summary(runs(spark, sf_dir))
+
+
+@_query("SELECT * FROM stats")
+def worker_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics as a keyed state that has followed the log as a stream."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    runs(spark, sf_dir).write.parquet(path)
+    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    workers.start(log, f"{path}-state", None).awaitTermination()
+    return workers.stats(spark, f"{path}-state").withColumn("last_run_at", F.col("last_run_at").cast("timestamp_ntz"))
+
+
+# Stores
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A body for each sample, scraped at its time."""
+    rows = metrics(spark, sf_dir)
+    return exposed(rows.withColumn("at", F.col("timestamp").cast("timestamp")), "at").select("agent_id", F.col("at").alias("scraped_at"), "body", F.lit(None).cast("string").alias("error"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of samples and runs after three rounds: one, another stream's of the same number, and the first again. The second's samples are those of agent 5 alone."""
+    path = f"{shared_dir(spark)}/ingested-{uuid.uuid4().hex}"
+    bodies = _bodies(spark, sf_dir)
+    for stream, rows in (("a", bodies), ("b", bodies.where("agent_id = '5'")), ("a", bodies)):
+        ingest.store_batch(rows, f"{path}/metrics", f"{path}/runs", stream, 0)
+    return f"{path}/metrics", f"{path}/runs"
+
+
+_TWICE = "(SELECT * FROM metrics UNION ALL SELECT * FROM metrics WHERE agent_id = '5')"
+
+
+@_query(f"SELECT name, value, epoch_us(\"timestamp\") // 1000 AS millis, agent_id, k FROM {_TWICE}")
+def ingested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.read_metrics(spark, _ingested(spark, sf_dir)[0])
+    return rows.select("name", "value", F.unix_millis("timestamp").alias("millis"), "agent_id", F.col("tags").getItem("k").alias("k"))
+
+
+@_query(f"SELECT agent_id, count(*) AS n_runs, CAST(count(*) AS BIGINT) AS n_samples, 'success' AS status FROM {_TWICE} GROUP BY agent_id")
+def ingested_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(_ingested(spark, sf_dir)[1])
+    return rows.groupBy("agent_id", "status").agg(F.count("*").alias("n_runs"), F.sum("n_samples").alias("n_samples")).select("agent_id", "n_runs", "n_samples", "status")
+
+
+@_query(f"SELECT {_ROW} FROM metrics WHERE \"timestamp\" >= TIMESTAMP '{MIDDAY}'")
+def stored_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after retention in the middle of a day, and after that day's files were made few."""
+    path = f"{shared_dir(spark)}/retained-{uuid.uuid4().hex}"
+    rows = metrics(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for rule in ("id % 2 = 0", "id % 2 = 1"):
+        store.write_metrics(rows.where(rule), path)
+    retention.delete_before(spark, path, datetime.datetime.fromisoformat(MIDDAY).replace(tzinfo=datetime.UTC))
+    retention.compact_day(spark, path, MIDDAY[:10])
+    return store.read_metrics(spark, path).select(*mq.ROW).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 # Exposition format
 
 
-def exposed(rows: DataFrame) -> DataFrame:
-    """A metrics table as bodies, one per sample: agent_id, body."""
+def exposed(rows: DataFrame, *more: str) -> DataFrame:
+    """A metrics table as bodies, one per sample: agent_id, body, and more of its columns."""
     millis = F.unix_millis(F.col("timestamp").cast("timestamp")).cast("string")
     line = F.concat("name", F.lit('{k="'), F.col("tags").getItem("k"), F.lit('",id="'), F.col("id").cast("string"), F.lit('"} '), F.col("value").cast("string"), F.lit(" "), millis)
-    return rows.select("agent_id", F.concat(F.lit("# TYPE x gauge\n"), line, F.lit("\nbroken{ 1\n")).alias("body"))
+    return rows.select("agent_id", *more, F.concat(F.lit("# TYPE x gauge\n"), line, F.lit("\nbroken{ 1\n")).alias("body"))
 
 
 @_query("SELECT id, name, value, epoch_us(\"timestamp\") // 1000 AS millis, agent_id, k FROM metrics")

@@ -55,9 +55,14 @@ class Worker(StatefulProcessor):
         pass
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with timers needs this store. Queries that start from now on use it, and keep it in their checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+
+
 def watched(runs: DataFrame, stale_ms: int = STALE) -> DataFrame:
     """A stream of runs as a stream of statistics: a row for each agent with new runs, and one with stale = true when an agent has had none for stale_ms."""
-    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    use_rocksdb(runs.sparkSession)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = runs.select("agent_id", us("started_at").alias("started_us"), us("finished_at").alias("finished_us"), "error")
     out = rows.groupBy("agent_id").transformWithState(Worker(stale_ms), _OUT, "Update", "ProcessingTime")
