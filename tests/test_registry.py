@@ -99,7 +99,7 @@ def test_retention_beside_appends(spark, tmp_path, monkeypatch):
     before = files()
     real = retention._replaced
 
-    def late(*args):
+    def late(*args):  # noqa: ANN002
         store.write_metrics(spark.createDataFrame([(99, "a", 1.0, at(1), "x", {}), (98, "a", 1.0, at(20), "x", {})], METRIC), path)
         real(*args)
 
@@ -341,6 +341,8 @@ def test_service(spark, tmp_path, exposed):
         s.scrape_now("none")
     s.save_metric("own", 1, "ok", {"a": "b"}, datetime.datetime(2024, 1, 1))
     (row,) = s.agent_metrics("ok", "2024-01-01", "2024-01-02").collect()
+    assert [r["name"] for r in s.search("own", {"a": "b"}, "2024-01-01", "2024-01-02").collect()] == ["own"]
+    assert [r.value for r in s.search("hits", {"code": "200", "agent_id": "ok"}, "2023-01-01", "2030-01-02").collect()] == [5.0, 5.0] and s.search("hits", {"code": "404"}, "2023-01-01", "2030-01-02").isEmpty()
     assert row["name"] == "own" and s.stats().first().total_agents == 2
     s.delete("ok", hard=True)
     assert not s.agent_metrics("ok", "2024-01-01", "2024-01-02").isEmpty()

@@ -1,5 +1,7 @@
 """The series store against the map form, and what it doesn't read."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,37 @@ def test_answers_and_new_series(spark, tmp_path, metrics, monkeypatch):
     check(store, metrics)
 
 
+def test_rounds_replace_themselves_and_old_points_go(spark, tmp_path, metrics, monkeypatch):
+    """A round that broke off after any of its tables is added again; retention leaves what a filter leaves."""
+    from tidemark.sources import series, store
+
+    s = SeriesStore(spark, str(tmp_path / "s"), 4)
+    s.add(metrics.where("id < 200"), "a")
+    for k in (1, 2, 3):
+        calls = []
+
+        def broken(*args):
+            store.replaced(*args)
+            calls.append(args)
+            if len(calls) == k:
+                raise KeyboardInterrupt
+
+        monkeypatch.setattr(series, "replaced", broken)
+        with pytest.raises(KeyboardInterrupt):
+            s.add(metrics.where("id >= 200"), f"b{k if k < 3 else 1}")
+        monkeypatch.undo()
+        s.add(metrics.where("id >= 200"), f"b{k if k < 3 else 1}")
+        if k == 1:
+            check(s, metrics)
+    assert s.series().count() == s.series().select("series_id").distinct().count() and s.pairs().count() == s.pairs().distinct().count()
+    at = datetime.datetime(2024, 1, 3, 6, tzinfo=datetime.UTC)
+    s.delete_before(at)
+    kept = [r.id for r in s.points().where("round <> 'b2' and round not like 'kept%'").collect()]
+    assert len(kept) == len(set(kept))
+    assert s.points().select("id").distinct().count() == metrics.where(F.col("timestamp") >= F.lit("2024-01-03 06:00:00").cast("timestamp")).count()
+    assert s.points().where(F.col("timestamp") < F.lit("2024-01-03 06:00:00").cast("timestamp")).isEmpty()
+
+
 def test_a_hash_of_two_series_is_an_error(spark, tmp_path, metrics, monkeypatch):
     from tidemark.sources import series
 

@@ -16,6 +16,7 @@ from tidemark.operators.registry import Agent, Missing, Registry
 from tidemark.schema import METRICS, SCRAPE_RUNS
 from tidemark.sources import scrape, store
 from tidemark.sources.files import Files
+from tidemark.sources.series import SeriesStore
 from tidemark.streaming import ingest, workers
 
 
@@ -26,7 +27,7 @@ class Service:
         self.spark, self.root, self.files = spark, root, Files(spark, root)
         self.registry = Registry(spark, f"{root}/agents_log")
         self.metrics_path, self.runs_path = f"{root}/metrics", f"{root}/scrape_runs"
-        self.stopped_path = f"{root}/stopped"
+        self.stopped_path, self.series = f"{root}/stopped", SeriesStore(spark, f"{root}/series")
         self.query: StreamingQuery | None = None
         self.watch: StreamingQuery | None = None
 
@@ -93,19 +94,19 @@ class Service:
         targets = self.registry.agents()
         if agent_id is not None:
             targets = targets.where(F.col("id") == self.agent(agent_id).id)
-        return ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
+        return ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path, series=self.series)
 
     def scrape_due(self, now: datetime.datetime | None = None) -> dict[str, int]:
         """One round over the agents whose own interval has passed since their last run, but those that are stopped."""
         at = retention.utc_text(now or datetime.datetime.now(datetime.UTC))
         due = runs.due(self.registry.agents(), self.scraper_stats(), at).withColumnRenamed("agent_id", "id")
         targets = self.registry.agents().join(due, "id", "left_semi").where(~F.col("id").isin(*self.stopped()))
-        return ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path)
+        return ingest.store_batch(scrape.scrape(self.spark, targets), self.metrics_path, self.runs_path, series=self.series)
 
     def start(self, every: str = "30 seconds") -> StreamingQuery:
         """Rounds over due agents until stop(), and the statistics that follow them. Each round reads the registry anew, so new agents join and disabled ones leave; executors fetch, MAX_CONCURRENT at once."""
         bodies = scrape.rounds(self.spark, self.registry.path, f"{self.root}/bodies", self.stopped_path)
-        self.query = ingest.start(bodies, self.metrics_path, self.runs_path, f"{self.root}/checkpoint", every)
+        self.query = ingest.start(bodies, self.metrics_path, self.runs_path, f"{self.root}/checkpoint", every, self.series)
         self.files.fs.mkdirs(self.files.path(self.runs_path))
         self.watch = workers.start(self.spark.readStream.schema(SCRAPE_RUNS).parquet(self.runs_path), f"{self.root}/workers", every)
         return self.query
@@ -143,13 +144,21 @@ class Service:
         """One sample, with its tags."""
         ident = uuid.uuid4().int >> 65
         row = self.spark.createDataFrame([(ident, name, float(value), at or datetime.datetime.now(), agent_id, {**(tags or {}), "agent_id": agent_id})], "id long, name string, value double, timestamp timestamp, agent_id string, tags map<string,string>")
-        store.write_metrics(row, self.metrics_path)
+        name = f"own-{ident}"
+        store.write_metrics(row, self.metrics_path, name)
+        self.series.add(row, name)
+
+    def search(self, name: str, tags: dict[str, str], start: str, end: str) -> DataFrame:
+        """Samples of a name with all of tags in a range. The tag index finds their series, and only the buckets of these are read."""
+        return self.series.by_name_and_tags(name, tags, start, end)
 
     def agent_metrics(self, agent_id: str, start: str, end: str) -> DataFrame:
         """Samples of an agent, of one deleted meanwhile too."""
         return metric_queries.by_agent_range(self.metrics(), agent_id, start, end)
 
     def delete_before(self, threshold: datetime.datetime) -> list[str]:
+        """Samples before a threshold go, from the series store too. Returns the days that went whole."""
+        self.series.delete_before(threshold)
         return retention.delete_before(self.spark, self.metrics_path, threshold)
 
     def compact_day(self, day: str) -> int:

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.schema import METRICS
 from tidemark.sources.files import Files
@@ -41,16 +42,16 @@ def _finished(files: Files, path: str, name: str) -> None:
     files.delete(f"{path}/{name}")
 
 
-def _day(spark: SparkSession, path: str, day: str) -> DataFrame:
-    return spark.read.schema(METRICS).option("basePath", path).parquet(f"{path}/date={day}")
+def _day(spark: SparkSession, path: str, day: str, schema: StructType | str) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/date={day}")
 
 
-def _replaced(spark: SparkSession, path: str, day: str, old: list[str], keep: Column | None, kind: str) -> None:
+def _replaced(spark: SparkSession, path: str, day: str, old: list[str], keep: Column | None, kind: str, schema: StructType | str, order: tuple[str, ...]) -> None:
     """Files of a day replaced by the rows of them that keep leaves, in a round of their own."""
     files, name = Files(spark, path), f"_replace_{uuid.uuid4().hex}"
-    rows = spark.read.schema(METRICS).option("basePath", path).parquet(*old)
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*old)
     rows = rows if keep is None else rows.where(keep)
-    rows.drop("date", "round").hint("rebalance").sortWithinPartitions("name", "timestamp").write.parquet(f"{path}/{name}/data")
+    rows.drop("date", "round").hint("rebalance").sortWithinPartitions(*order).write.parquet(f"{path}/{name}/data")
     files.write(f"{path}/{name}/plan.json", json.dumps({"old": old, "place": f"date={day}/round={kind}-{uuid.uuid4().hex}"}))
     _finished(files, path, name)
 
@@ -59,7 +60,7 @@ def _days(files: Files, path: str) -> list[str]:
     return [n.removeprefix("date=") for n in files.names(path) if n.startswith("date=")]
 
 
-def delete_before(spark: SparkSession, path: str, threshold: datetime.datetime) -> list[str]:
+def delete_before(spark: SparkSession, path: str, threshold: datetime.datetime, schema: StructType | str = METRICS, order: tuple[str, ...] = ("name", "timestamp")) -> list[str]:
     """Drop samples before a threshold: the folders of earlier days go, and of the threshold's day those files alone are rewritten that hold an earlier
     sample. Returns the dropped days. No row before that day is read."""
     recovered(spark, path)
@@ -70,16 +71,16 @@ def delete_before(spark: SparkSession, path: str, threshold: datetime.datetime)
         files.delete(f"{path}/date={d}")
     if cut in days:
         limit = F.lit(at).cast("timestamp")
-        old = [r["f"] for r in _day(spark, path, cut).where(F.col("timestamp") < limit).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]  # of one day
+        old = [r["f"] for r in _day(spark, path, cut, schema).where(F.col("timestamp") < limit).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]  # of one day
         if old:
-            _replaced(spark, path, cut, old, F.col("timestamp") >= limit, "kept")
+            _replaced(spark, path, cut, old, F.col("timestamp") >= limit, "kept", schema, order)
     return gone
 
 
 def compact_day(spark: SparkSession, path: str, day: str) -> int:
     """The files of a day as few sorted ones, for rounds make at least one file each. Returns how many were replaced."""
     recovered(spark, path)
-    old = [r["f"] for r in _day(spark, path, day).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
+    old = [r["f"] for r in _day(spark, path, day, METRICS).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
     if len(old) > 1:
-        _replaced(spark, path, day, old, None, "compact")
+        _replaced(spark, path, day, old, None, "compact", METRICS, ("name", "timestamp"))
     return len(old)

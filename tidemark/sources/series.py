@@ -8,14 +8,24 @@ The series that a question leaves are broadcast only if they are counted and few
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import retention
 from tidemark.operators.metrics import ROW, between
 from tidemark.sources.files import Files
+from tidemark.sources.store import replaced
 
 #: Buckets of a new store, and series (about 100 bytes each) that may be broadcast.
 BUCKETS, BROADCAST_SERIES = 64, 200_000
+_TABLES = {
+    "points": "series_id long, id long, timestamp timestamp, value double, bucket int, date date, round string",
+    "series": "series_id long, bucket int, name string, agent_id string, tags map<string,string>, round string",
+    "pairs": "series_id long, bucket int, name string, agent_id string, tag_key string, tag_value string, round string",
+}
 
 
 def series_of(metrics: DataFrame, buckets: int) -> DataFrame:
@@ -31,7 +41,7 @@ class SeriesStore:
         self.spark, self.path, self.buckets, self.files = spark, path, buckets, Files(spark, path)
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}") if self.files.exists(f"{self.path}/{name}") else self.spark.createDataFrame([], _TABLES[name])
 
     def points(self) -> DataFrame:
         return self._read("points")
@@ -42,15 +52,16 @@ class SeriesStore:
     def pairs(self) -> DataFrame:
         return self._read("pairs")
 
-    def add(self, metrics: DataFrame) -> None:
-        """Samples, and the series and pairs that are new with them. Known series aren't written again. A hash that stands for two series is an error, before anything is written."""
+    def add(self, metrics: DataFrame, round_id: str | None = None) -> None:
+        """Samples, and the series and pairs that are new with them, in folders of their round, which replace what was stored of it: a round that broke off can be added again. Known
+        series aren't written again. A hash that stands for two series is an error, before anything is written. One writer at a time, or two may both write a new series."""
+        name = round_id or f"own-{uuid.uuid4().hex}"
         rows = series_of(metrics, self.buckets)
         kind = {c: F.any_value(c).alias(c) for c in ("bucket", "name", "agent_id", "tags")}
         text = F.concat_ws("\x00", "name", "agent_id", F.array_sort(F.map_entries("tags")).cast("string"))
         found = rows.groupBy("series_id").agg(*kind.values(), F.min(text).alias("low"), F.max(text).alias("high"))
-        if self.files.exists(f"{self.path}/series/_SUCCESS"):
-            known = self.series().select("series_id", text.alias("known"))
-            found = found.join(known, "series_id", "left")
+        if self.files.exists(f"{self.path}/series"):
+            found = found.join(self.series().select("series_id", text.alias("known")), "series_id", "left")
         else:
             found = found.withColumn("known", F.lit(None).cast("string"))
         found = found.persist()
@@ -58,15 +69,22 @@ class SeriesStore:
             clash = found.where("low <> high or low <> known").limit(1).collect()
             if clash:
                 raise ValueError(f"two series have one hash: {clash[0]['series_id']}")
-            new = found.where("known is null").select("series_id", *kind)
-            pairs = new.select("series_id", "bucket", "name", "agent_id", F.explode("tags").alias("tag_key", "tag_value"))
+            new = found.where("known is null").select("series_id", *kind, F.lit(name).alias("round"))
+            pairs = new.select("series_id", "bucket", "name", "agent_id", F.explode("tags").alias("tag_key", "tag_value"), "round")
             # a range of pairs in each file, so that a question reads few of them
-            pairs.repartitionByRange("tag_key", "tag_value", "series_id").sortWithinPartitions("tag_key", "tag_value").write.mode("append").parquet(f"{self.path}/pairs")
-            new.sortWithinPartitions("name", "series_id").write.mode("append").parquet(f"{self.path}/series")
+            replaced(pairs.repartitionByRange("tag_key", "tag_value", "series_id").sortWithinPartitions("tag_key", "tag_value"), f"{self.path}/pairs", "round")
+            replaced(new.sortWithinPartitions("name", "series_id"), f"{self.path}/series", "round")
         finally:
             found.unpersist()
-        points = rows.select("series_id", "id", "timestamp", "value", "bucket", F.to_date("timestamp").alias("date"))
-        points.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "date", "series_id", "timestamp").write.mode("append").partitionBy("bucket", "date").parquet(f"{self.path}/points")
+        points = rows.select("series_id", "id", "timestamp", "value", "bucket", F.to_date("timestamp").alias("date"), F.lit(name).alias("round"))
+        replaced(points.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "date", "series_id", "timestamp"), f"{self.path}/points", "bucket", "date", "round")
+
+    def delete_before(self, threshold: datetime.datetime) -> None:
+        """Points before a threshold go, bucket by bucket as retention does it; series stay known."""
+        schema = ", ".join(c for c in _TABLES["points"].split(", ") if c != "bucket int")
+        for name in self.files.names(f"{self.path}/points"):
+            if name.startswith("bucket="):
+                retention.delete_before(self.spark, f"{self.path}/points/{name}", threshold, schema, ("series_id", "timestamp"))
 
     # Questions
 

@@ -22,6 +22,7 @@ from tidemark.schema import METRICS, ROUNDS, SCRAPE_BODIES, SCRAPE_RUNS
 from tidemark.session import shared_dir
 from tidemark.sources.exposition import parse
 from tidemark.sources.files import Files
+from tidemark.sources.series import SeriesStore
 from tidemark.sources.store import replaced, write_metrics
 
 
@@ -46,11 +47,11 @@ def _of_round(spark: SparkSession, files: Files, path: str, schema: StructType,
     return spark.read.schema(schema).option("basePath", path).parquet(*there) if there else spark.createDataFrame([], schema)
 
 
-def store_batch(bodies: DataFrame, metrics_path: str, runs_path: str, stream: str | None = None, batch: int = 0) -> dict[str, int]:
+def store_batch(bodies: DataFrame, metrics_path: str, runs_path: str, stream: str | None = None, batch: int = 0, series: SeriesStore | None = None) -> dict[str, int]:
     """One round: its samples, then the runs that tell of them, then a row of its own figures (table `{runs_path}_rounds`), which are returned too.
 
     stream and batch name the round; what was stored of it before is replaced, so a batch that broke off anywhere and is replayed is there once. Its bodies must be the same
-    then, as a replayable source gives them. Without a name the bodies are those of a source that can't repeat them: they are written down first. Bodies are parsed once: how many samples each gave is counted in the files just written."""
+    then, as a replayable source gives them. A series store is given the round's samples too, under the same name. Without a name the bodies are those of a source that can't repeat them: they are written down first. Bodies are parsed once: how many samples each gave is counted in the files just written."""
     spark, began = bodies.sparkSession, time.time()
     once = None
     if stream is None:
@@ -59,7 +60,10 @@ def store_batch(bodies: DataFrame, metrics_path: str, runs_path: str, stream: st
         bodies = spark.read.schema(SCRAPE_BODIES).parquet(once)
     name, files = f"{stream}-{batch}", Files(spark, metrics_path)
     write_metrics(samples(bodies), metrics_path, name)
-    counts = _of_round(spark, files, metrics_path, METRICS, name).groupBy("agent_id", "scraped_at").agg(F.count("*").alias("n_samples"))
+    there = _of_round(spark, files, metrics_path, METRICS, name)
+    if series is not None:
+        series.add(there.select("id", "name", "value", "timestamp", "agent_id", "tags"), name)
+    counts = there.groupBy("agent_id", "scraped_at").agg(F.count("*").alias("n_samples"))
     replaced(runs(bodies, counts).withColumns({"date": F.to_date("started_at"), "round": F.lit(name)}), runs_path)
     seen = _of_round(spark, files, runs_path, SCRAPE_RUNS, name).agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("samples"), F.count("*").alias("agents"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
     took = int((time.time() - began) * 1000)
@@ -77,9 +81,9 @@ def rounds(spark: SparkSession, runs_path: str) -> DataFrame:
     return (spark.read.schema(ROUNDS).parquet(path) if Files(spark, path).exists(path) else spark.createDataFrame([], ROUNDS)).drop("round")
 
 
-def start(bodies: DataFrame, metrics_path: str, runs_path: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
+def start(bodies: DataFrame, metrics_path: str, runs_path: str, checkpoint: str, every: str | None = "30 seconds", series: SeriesStore | None = None) -> StreamingQuery:
     """Store a stream of bodies, a round per trigger, under the stream's own id, which lives in its checkpoint; every=None takes what is there and ends."""
-    return each_round(bodies, lambda batch, k, stream: store_batch(batch, metrics_path, runs_path, stream, k), checkpoint, every)
+    return each_round(bodies, lambda batch, k, stream: store_batch(batch, metrics_path, runs_path, stream, k, series), checkpoint, every)
 
 
 def each_round(stream: DataFrame, act: Callable[[DataFrame, int, str], object], checkpoint: str, every: str | None) -> StreamingQuery:
