@@ -433,7 +433,7 @@ def brute_suffix(rows):
     return out
 
 
-@pytest.mark.parametrize("dealt", [4000, 2])
+@pytest.mark.parametrize("dealt", [4000, suffix_dedup.DEALT, 2])
 def test_suffix(docs, monkeypatch, dealt):
     monkeypatch.setattr(suffix_dedup, "DEALT", dealt)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect()}

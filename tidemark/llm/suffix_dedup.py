@@ -37,7 +37,7 @@ from tidemark.llm.shingles import _VALUE, _inverses, _powers, mixed, text_blocks
 
 WINDOW, GRAM = 100, 24
 #: Occurrences a task gathers before it sends them; contexts of one anchor beyond which it is dealt to several shards; bytes of contexts per shard.
-GATHERED, DEALT, SHARD_BYTES = 1_000_000, 4_000, 2_000_000
+GATHERED, DEALT, SHARD_BYTES = 1_000_000, 128, 2_000_000
 #: Identifiers that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
