@@ -247,7 +247,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             rows = []
             for part in blocks(batch.column("text").to_pylist()):
                 for numbers, joined, pair, times in words.block(part):
-                    rows.append((*numbers, hashlib.sha256(joined.encode()).hexdigest() if joined is not None else "", np.diff(pair, prepend=0).astype(kind).tobytes(), times.astype("<u4").tobytes()))
+                    rows.append((*numbers, hashlib.sha256(joined.encode()).hexdigest() if joined is not None else "", np.diff(pair, prepend=0).astype(kind).tobytes(), times.astype("<u8").tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [x.split()[0] for x in _FIRST.split(", ")])
@@ -319,7 +319,7 @@ def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pair, n = _pairs_of(batch, kind)
-            times = np.frombuffer(b"".join(batch.column("times").to_pylist()), dtype="<u4").astype(np.int64)
+            times = np.frombuffer(b"".join(batch.column("times").to_pylist()), dtype="<u8").astype(np.int64)
             keys, back = np.unique(spread(pair), return_inverse=True)
             _, found = table.find(keys)
             row = np.repeat(np.arange(len(n)), n)
