@@ -50,6 +50,13 @@ def test_ranges_include_both_ends(metrics):
     assert ids(mq.by_agents(metrics, [], "2024-01-01 00:00:00", "2024-01-03 00:00:00")) == []
 
 
+def test_orders(metrics):
+    """Ranges and buckets come latest first, keys and values of tags in order."""
+    for df, column in ((mq.by_agent_range(metrics, "x", "2024-01-01", "2024-01-03"), "timestamp"), (mq.by_agents(metrics, ["x", "y"], "2024-01-01", "2024-01-03"), "timestamp"), (mq.by_name_range(metrics, "b", "2024-01-01", "2024-01-03"), "timestamp"), (mq.time_aggregation(metrics, "a", "2024-01-01", "2024-01-03", "1 hour"), "bucket")):
+        times = [r[column] for r in df.collect()]
+        assert len(times) > 1 and times == sorted(times, reverse=True)
+
+
 def test_latest_ties_and_absence(metrics):
     assert ids(mq.last_of_all_agents(metrics)) == [2, 4]
     assert mq.last_of_agent(metrics, "nobody").isEmpty()

@@ -327,11 +327,11 @@ def test_service(spark, tmp_path, exposed):
     from tidemark.api import Service
 
     s = Service(spark, str(tmp_path))
-    assert s.metrics().isEmpty() and s.scraper_status().first().active_workers == 0
+    assert s.metrics().isEmpty() and s.scraper_status().summary.first().active_workers == 0
     s.create(Agent("ok", "127.0.0.1", exposed)), s.create(Agent("bad", "127.0.0.1", exposed, path="/x"))
     s.scrape_due()
     assert {(r.id, r.last_scrape_status[:6]) for r in s.agents().collect()} == {("ok", "succes"), ("bad", "failed")}
-    assert s.scraper_status().first().total_errors == 1 and [r.agent_id for r in s.scraper_errors().collect()] == ["bad"]
+    assert s.scraper_status().summary.first().total_errors == 1 and [r.agent_id for r in s.scraper_errors().collect()] == ["bad"]
     before = s.runs().count()
     s.scrape_due()  # no interval has passed
     assert s.runs().count() == before
@@ -347,7 +347,7 @@ def test_service(spark, tmp_path, exposed):
     s.delete("ok", hard=True)
     assert not s.agent_metrics("ok", "2024-01-01", "2024-01-02").isEmpty()
     assert tuple(s.cycle(datetime.datetime(2024, 1, 1)).first())[:2] == (4, 2)
-    assert [w.agent_id for w in s.scraper_status().first().workers] == ["bad", "ok"]
+    assert sorted(w.agent_id for w in s.scraper_status().workers.collect()) == ["bad", "ok"]
     own = s.self_metrics().agg(F.sum("samples"), F.sum("agents"), F.sum("failed")).first()
     assert tuple(own) == (4, 3, 1)
     s.stop("bad")

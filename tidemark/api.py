@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ from tidemark.sources.series import SeriesStore
 from tidemark.streaming import ingest, workers
 
 
+class Status(NamedTuple):
+    """What the scrapers' status answers: one row (total_errors, active_workers, total_agents), and a row for each worker."""
+
+    summary: DataFrame
+    workers: DataFrame
+
+
 class Service:
     """Everything under one folder: registry, samples, log of runs, stream checkpoints."""
 
@@ -80,11 +88,10 @@ class Service:
         """Per agent: runs, successes, failures and the last run. While rounds go on, from the state that follows the log; else from the log itself."""
         return workers.stats(self.spark, f"{self.root}/workers") if self.watch is not None and self.watch.lastProgress else runs.worker_stats(self.runs())
 
-    def scraper_status(self) -> DataFrame:
-        """One row: workers with an error, workers, agents that have one, and the workers themselves."""
+    def scraper_status(self) -> Status:
+        """Totals and the workers that they count, of one look at the statistics."""
         stats = self.scraper_stats()
-        listed = stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("workers"))  # as many as there are agents
-        return runs.error_summary(stats).withColumn("total_agents", F.col("active_workers")).crossJoin(listed)
+        return Status(runs.error_summary(stats).withColumn("total_agents", F.col("active_workers")), stats)
 
     def scraper_errors(self) -> DataFrame:
         return runs.errors(self.scraper_stats())
