@@ -402,3 +402,17 @@ def test_appended_windows_and_streams_of_months(spark, tmp_path):
     query.awaitTermination()
     got, want = (sorted(map(tuple, d.collect())) for d in (spark.read.parquet(str(tmp_path / "out")), bucketed(df, "7 days")))
     assert 0 < len(got) < len(want) and got == want[: len(got)]
+
+
+def test_bodies_from_files_and_dedup(spark, tmp_path):
+    """Bodies kept as files are stored like scraped ones; a stream that drops repeats of a series and time keeps the first alone."""
+    (tmp_path / "bodies").mkdir()
+    for name, body in (("web-1.txt", 'hits{code="200"} 5 1700000000000\nhits{code="200"} 5 1700000000000\nhits{code="500"} 1 1700000000000\n'), ("web-2.txt", "# empty\n")):
+        (tmp_path / "bodies" / name).write_text(body)
+    bodies = scrape.bodies_from_files(spark, str(tmp_path / "bodies"))
+    figures = ingest.store_batch(bodies, str(tmp_path / "m"), str(tmp_path / "r"))
+    assert (figures["samples"], figures["agents"], figures["failed"]) == (3, 2, 0)
+    assert {(x.agent_id, x.status, x.n_samples) for x in spark.read.parquet(str(tmp_path / "r")).collect()} == {("web-1", "success", 3), ("web-2", "empty", 0)}
+    stored = store.read_metrics(spark, str(tmp_path / "m"))
+    stream = ingest.deduplicated(spark.readStream.schema(stored.schema).parquet(str(tmp_path / "m")), "1 hour")
+    assert sorted((x["name"], x.tags["code"], x.value) for x in ingest.drained(spark, stream, "dedup_test", "append").collect()) == [("hits", "200", 5.0), ("hits", "500", 1.0)]

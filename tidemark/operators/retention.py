@@ -1,7 +1,8 @@
 """Retention and compaction of a store of samples (folders date=../round=..): single files are replaced, and what arrives meanwhile stays.
 
 A replacement is prepared in a hidden folder and becomes due with its plan, which names the old files and the place of the new ones. A call after one
-that broke off finishes replacements that have a plan and forgets the others. One maintenance job at a time; any number of writers and readers beside it."""
+that broke off finishes replacements that have a plan and forgets the others. One maintenance job at a time; any number of writers and readers beside it. Rewritten
+rows leave their round, so the day should be one whose rounds aren't replayed any more. A reader may miss the rows of a replacement for the moment between the last deletion and the renaming."""
 
 from __future__ import annotations
 

@@ -66,15 +66,19 @@ def store_batch(bodies: DataFrame, metrics_path: str, runs_path: str, stream: st
     counts = there.groupBy("agent_id", "scraped_at").agg(F.count("*").alias("n_samples"))
     replaced(runs(bodies, counts).withColumns({"date": F.to_date("started_at"), "round": F.lit(name)}), runs_path)
     seen = _of_round(spark, files, runs_path, SCRAPE_RUNS, name).agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("samples"), F.count("*").alias("agents"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
-    took = int((time.time() - began) * 1000)
-    figures = {**seen.asDict(), "ms": took}
-    row = spark.range(1).select(F.lit(stream).alias("stream"), F.lit(batch).cast("long").alias("batch"), *(F.lit(figures[c]).cast("long").alias(c) for c in ("samples", "agents", "failed")), F.timestamp_millis(F.lit(int(began * 1000))).alias("started_at"), F.lit(took).cast("long").alias("ms"), F.lit(name).alias("round"))
-    replaced(row, f"{runs_path}_rounds", "round")
+    figures = {**seen.asDict(), "ms": int((time.time() - began) * 1000)}
+    if figures["agents"]:  # rounds in which no one was due aren't told of
+        _told(spark, runs_path, stream, batch, name, began, figures)
     if once:
         Files(spark, once).delete(once)
     return figures
 
 
+def _told(spark: SparkSession, runs_path: str, stream: str, batch: int, name: str, began: float, figures: dict[str, int]) -> None:
+    row = spark.range(1).select(F.lit(stream).alias("stream"), F.lit(batch).cast("long").alias("batch"), *(F.lit(figures[c]).cast("long").alias(c) for c in ("samples", "agents", "failed")), F.timestamp_millis(F.lit(int(began * 1000))).alias("started_at"), F.lit(figures["ms"]).cast("long").alias("ms"), F.lit(name).alias("round"))
+    replaced(row, f"{runs_path}_rounds", "round")
+
+
 def rounds(spark: SparkSession, runs_path: str) -> DataFrame:
     """Figures of the rounds that were stored: stream, batch, samples, agents, failed, started_at, ms."""
     path = f"{runs_path}_rounds"
