@@ -114,6 +114,13 @@ def test_an_error_is_cleared_by_success(spark):
     assert (r.total_runs, r.failed_runs, r.last_error, r.last_run_ms) == (2, 1, None, 2000)
 
 
+@pytest.mark.parametrize("first,last", [("2024-01-01 00:00:00.000900", "2024-01-01 00:00:01.000100"), ("2024-01-01 00:00:00.000100", "2024-01-01 00:00:00.001900"), ("1969-12-31 23:59:59.998500", "1970-01-01 00:00:00.000500")])
+def test_a_rounds_milliseconds_are_those_of_date_diff(spark, first, last):
+    runs = spark.createDataFrame([("a", first, first, 1), ("b", first, last, 2)], "agent_id string, s string, f string, n_samples long").selectExpr("agent_id", "cast(s as timestamp) started_at", "cast(f as timestamp) finished_at", "n_samples")
+    want = duckdb.execute(f"SELECT date_diff('millisecond', TIMESTAMP '{first}', TIMESTAMP '{last}')").fetchone()[0]
+    assert tuple(rq.cycle_summary(runs).first()) == (3, 2, want)
+
+
 def test_range_on_a_partitioned_store_prunes(spark, tmp_path, metrics):
     from tidemark.sources import store
 

@@ -35,9 +35,9 @@ def error_summary(stats: DataFrame) -> DataFrame:
 
 
 def cycle_summary(runs: DataFrame) -> DataFrame:
-    """Of the runs of a round: samples, agents and milliseconds from the first start to the last end."""
-    took = F.unix_micros(F.max("finished_at").cast("timestamp")) - F.unix_micros(F.min("started_at").cast("timestamp"))
-    return runs.agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("samples"), F.count_distinct("agent_id").alias("agents"), (took / 1000).cast("long").alias("ms"))
+    """Of the runs of a round: samples, agents and milliseconds from the first start to the last end, by the clock's whole milliseconds, as date_diff counts them."""
+    took = F.unix_millis(F.max("finished_at").cast("timestamp")) - F.unix_millis(F.min("started_at").cast("timestamp"))
+    return runs.agg(F.coalesce(F.sum("n_samples"), F.lit(0)).alias("samples"), F.count_distinct("agent_id").alias("agents"), took.alias("ms"))
 
 
 def stale_workers(stats: DataFrame, now: str, minutes: int = 5) -> DataFrame:
