@@ -279,6 +279,58 @@ def test_worker_state_follows_the_log(spark, tmp_path):
     assert {x.agent_id for x in told if x.stale} <= {"a0", "a1", "a2"} and any(x.stale for x in told)
 
 
+def test_an_agents_runs_take_few_calls_to_the_state():
+    """Each call is a round trip to the JVM: their number doesn't grow with an agent's runs. Runs given again, late ones and ones without a time count once."""
+    from pyspark.sql import Row
+
+    from tidemark.streaming import workers
+
+    calls = []
+
+    class Held:
+        def __init__(self, **_):
+            self.values, self.timers = {}, set()
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("getValueState", "getListState", "getMapState"):
+                    return Held()
+                if name in ("exists", "containsKey", "get"):
+                    kept = self.values.get(a)
+                    return bool(kept) if name != "get" else iter(self.values.get("list", [])) if "list" in self.values else kept
+                if name == "update":
+                    self.values[()] = a[0]
+                elif name == "updateValue":
+                    self.values[a[:1]] = a[1]
+                elif name == "appendList":
+                    self.values["list"] = self.values.get("list", []) + a[0]
+                elif name == "registerTimer":
+                    self.timers.add(a[0])
+                elif name == "deleteTimer":
+                    self.timers.remove(a[0])
+                return list(self.timers) if name == "listTimers" else None
+
+            return call
+
+    class Now:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: 1_000)  # noqa: N815
+
+    run = lambda k: Row(started_us=k, finished_us=None if k is None else k + 5_000, error="e" if k and k % 4 == 3 else None)
+    w, handle = workers.Worker(), Held()
+    w.init(handle)
+    calls.clear()
+    for given, total, bad in ((range(0, 10_000, 2), 5_000, 0), ([*range(9_000, 11_000, 2), 11_003, 7, 7], 5_502, 2), ([None, None, 7, 10_998], 5_503, 2), ([None, 11_003, 11_005], 5_504, 2)):
+        (out,) = w.handleInputRows(("a",), iter([run(k) for k in given]), Now)
+        assert (out.total_runs, out.failed_runs, out.stale) == (total, bad, False)
+    assert out.last_run_us == 11_005 and out.last_error is None and out.last_run_ms == 5 and len(handle.timers) == 1
+    assert len(calls) <= 6 * 4
+    handle.timers.clear()
+    (out,) = w.handleExpiredTimer(("a",), Now, None)
+    (out,) = [x for x in (out,) if x.stale and x.total_runs == 5_504]
+    assert next(w.handleInputRows(("a",), iter([run(12_000)]), Now)).total_runs == 5_505
+
+
 @pytest.fixture
 def exposed():
     class Handler(http.server.BaseHTTPRequestHandler):

@@ -86,7 +86,7 @@ class Service:
 
     def scraper_stats(self) -> DataFrame:
         """Per agent: runs, successes, failures and the last run. While rounds go on, from the state that follows the log; else from the log itself."""
-        return workers.stats(self.spark, f"{self.root}/workers") if self.watch is not None and self.watch.lastProgress else runs.worker_stats(self.runs())
+        return workers.stats(self.spark, f"{self.root}/worker-state") if self.watch is not None and self.watch.lastProgress else runs.worker_stats(self.runs())
 
     def scraper_status(self) -> Status:
         """Totals and the workers that they count, of one look at the statistics."""
@@ -115,7 +115,7 @@ class Service:
         bodies = scrape.rounds(self.spark, self.registry.path, f"{self.root}/bodies", self.stopped_path)
         self.query = ingest.start(bodies, self.metrics_path, self.runs_path, f"{self.root}/checkpoint", every, self.series)
         self.files.fs.mkdirs(self.files.path(self.runs_path))
-        self.watch = workers.start(self.spark.readStream.schema(SCRAPE_RUNS).parquet(self.runs_path), f"{self.root}/workers", every)
+        self.watch = workers.start(self.spark.readStream.schema(SCRAPE_RUNS).parquet(self.runs_path), f"{self.root}/worker-state", every)
         return self.query
 
     def stop(self, agent_id: str | None = None) -> None:

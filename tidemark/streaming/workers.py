@@ -1,7 +1,10 @@
 """Worker statistics as they happen: a keyed state with a timer for each agent, over a stream of the runs' log.
 
 A trigger costs what its new runs cost, however long the log is. The state is the table: it is read from the query's checkpoint. Runs of one agent
-and time are one run, so a round that was stored again changes nothing if it comes within REMEMBERED of the first time."""
+and time are one run, so a round that was stored again changes nothing if it comes within REMEMBERED of the first time.
+
+Each call to the state is a round trip from Python to the JVM, so an agent's runs of a trigger are taken together: their times are remembered as one
+entry, and what is remembered is only looked at where a run is no later than the last one known, for one that is later can't have been stored before."""
 
 from __future__ import annotations
 
@@ -15,7 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 REMEMBERED, STALE = 24 * 3600 * 1000, 5 * 60 * 1000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Times are microseconds here, for a state gives back times in another form than rows do.
-_STATE = "total_runs long, successful_runs long, failed_runs long, last_run_us long, last_end_us long, last_error string, last_run_ms long"
+_STATE = "total_runs long, successful_runs long, failed_runs long, last_run_us long, last_end_us long, last_error string, last_run_ms long, timer_ms long"
+#: Times of runs in one entry of what is remembered, at most.
+_ENTRY = 4096
 _OUT = "agent_id string, total_runs long, successful_runs long, failed_runs long, last_run_us long, last_error string, last_run_ms long, stale boolean"
 
 
@@ -28,27 +33,39 @@ class Worker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.stats = handle.getValueState("stats", _STATE)
-        self.seen = handle.getMapState("seen", "started_us long", "once boolean", REMEMBERED)
+        self.seen = handle.getListState("seen", "starts array<long>", REMEMBERED)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
-        total, good, bad, last, end, error, ms = self.stats.get() if self.stats.exists() else (0, 0, 0, None, None, None, None)
+        total, good, bad, last, end, error, ms, timer = self.stats.get() or (0, 0, 0, None, None, None, None, None)
+        before, known, new = last, None, {}
         for r in rows:
-            if self.seen.containsKey((r.started_us,)):
+            at = r.started_us
+            if at in new:
                 continue
-            self.seen.updateValue((r.started_us,), (True,))
+            if total and (before is None or at is None or at <= before):
+                known = {x for (starts,) in self.seen.get() for x in starts} if known is None else known
+                if at in known:
+                    continue
+            new[at] = r
+        for r in new.values():
             failed = r.error is not None
             total, good, bad = total + 1, good + (not failed), bad + failed
-            if last is None or (r.started_us, r.finished_us or 0) >= (last, end or 0):
-                took = None if failed or r.finished_us is None else int((r.finished_us - r.started_us) / 1000)
+            if last is None or (r.started_us is not None and (r.started_us, r.finished_us or 0) >= (last, end or 0)):
+                took = None if failed or r.finished_us is None or r.started_us is None else int((r.finished_us - r.started_us) / 1000)
                 last, end, error, ms = r.started_us, r.finished_us, r.error, took
-        self.stats.update((total, good, bad, last, end, error, ms))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stale_ms)
+        starts = list(new)
+        if starts:
+            self.seen.appendList([(starts[i : i + _ENTRY],) for i in range(0, len(starts), _ENTRY)])
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.stale_ms
+        self.handle.registerTimer(timer)
+        self.stats.update((total, good, bad, last, end, error, ms, timer))
         yield Row(agent_id=key[0], total_runs=total, successful_runs=good, failed_runs=bad, last_run_us=last, last_error=error, last_run_ms=ms, stale=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
-        total, good, bad, last, _, error, ms = self.stats.get()
+        total, good, bad, last, end, error, ms, _ = self.stats.get()
+        self.stats.update((total, good, bad, last, end, error, ms, None))
         yield Row(agent_id=key[0], total_runs=total, successful_runs=good, failed_runs=bad, last_run_us=last, last_error=error, last_run_ms=ms, stale=True)
 
     def close(self) -> None:
