@@ -696,6 +696,25 @@ def brute_links(words):
     return out
 
 
+@pytest.mark.parametrize("all_docs", [2, 8, 64])
+def test_matches_are_made_few_at_a_time(all_docs):
+    """A frequent passage has many more matches than a bucket has seeds: they never lie in memory together, and slices change none of them."""
+    rng = np.random.default_rng(3)
+    s, d, p = rng.integers(0, 60, 6000).astype(np.uint64), rng.integers(0, 40, 6000), rng.integers(0, 900, 6000)
+    s, d, p = (c[np.lexsort((p, d, s))] for c in (s, d, p))
+    rows = lambda parts: sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts, strict=True)), strict=True))
+    few, whole = list(chaining._matches(s, d, p, all_docs, 500)), list(chaining._matches(s, d, p, all_docs, 10**9))
+    assert rows(few) == rows(whole) and len(whole) == 1 and len(whole[0][0]) > 5000
+    assert max(len(x[0]) for x in few) <= 500 + chaining.PLACES * max(all_docs, chaining.LEADERS)
+    want = set()
+    for seed in set(s.tolist()):
+        docs = sorted(set(d[s == seed].tolist()))
+        at = {x: p[(s == seed) & (d == x)].tolist() for x in docs}
+        for i, x in enumerate(docs):
+            want |= {(x, y, a, b) for y in docs[: i if len(docs) <= all_docs else min(i, chaining.LEADERS)] for a in at[x] for b in at[y][: chaining.PLACES]}
+    assert set(rows(few)) == want
+
+
 @pytest.mark.parametrize("all_docs,hot", [(8, 2048), (64, 2048), (2, 4)])
 def test_passages_against_all_pairs(spark, monkeypatch, all_docs, hot):
     """Both ways: each link that a search of all diagonals finds is found, and each passage found is as similar as it says, by an exact alignment."""
