@@ -715,6 +715,19 @@ def test_matches_are_made_few_at_a_time(all_docs):
     assert set(rows(few)) == want
 
 
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_every_holder_of_a_seed_meets_every_other(spark, monkeypatch, hot):
+    """Two documents share a passage whose seeds over 16 earlier ones hold, none of them the passage. all_docs=None finds it, and so does a number above the holders, whether seeds are hot or not."""
+    for name, value in (("HOT_BLOCK", 2), ("HOT", hot)):
+        monkeypatch.setattr(chaining, name, value)
+    shared = [f"s{k}" for k in range(160)]
+    rows = [(k, " ".join([f"x{k}w{j}" for j in range(40)] + shared[i : i + 35] + [f"y{k}w{j}" for j in range(40)])) for k, i in enumerate(i for i in range(0, 126, 5) for _ in range(17))]
+    rows += [(k, " ".join([f"p{k}w{j}" for j in range(20)] + shared + [f"q{k}w{j}" for j in range(20)])) for k in (1000, 1001)]
+    docs = frame(spark, rows).repartition(3)
+    assert (1001, 1000, 20, 180) in {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in chaining.passages(docs, None).collect()}
+    assert (1001, 1000, 20, 180) in {(r.doc_id, r.other_id, r.start_word, r.end_word) for r in chaining.passages(docs, 10**6).collect()}
+
+
 @pytest.mark.parametrize("all_docs,hot", [(8, 2048), (64, 2048), (2, 4)])
 def test_passages_against_all_pairs(spark, monkeypatch, all_docs, hot):
     """Both ways: each link that a search of all diagonals finds is found, and each passage found is as similar as it says, by an exact alignment."""
